@@ -46,6 +46,14 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """Equal for equal texts, and for no others short of a SHA-256 collision; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))

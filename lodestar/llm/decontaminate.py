@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import binaries, sha_hex
+from lodestar.llm.common import binaries, fresh, sha_hex
 
 WINDOW = 10
 BLOCK = 3
@@ -166,5 +166,6 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents without any benchmark window, columns as they came.
 
     Rows are kept by doc_id; a document of which any row is contaminated goes."""
-    hit = decontaminate(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left_anti")
+    name = fresh(documents, "hit_id")
+    hit = decontaminate(documents, benchmark).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, decontaminate, minhash, quality, shard, substring_dedup, suffix_dedup, toxicity, url_filter
+from lodestar.llm import bpe, decontaminate, media, minhash, quality, shard, substring_dedup, suffix_dedup, toxicity, url_filter
 from lodestar.llm.common import table
 
 #: The vocabulary of the encoding query and of the pipeline.
@@ -46,6 +46,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: an edited copy of each picture whose id is divisible by 20. Index: every picture."""
+    rows = table(spark, sf_dir, "embeddings").repartition("vec_id")  # drawing is slow, and a file may be one task
+    return media.find_copies(media.pictures(rows.where("vec_id % 20 = 0"), copies=True), media.pictures(rows))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

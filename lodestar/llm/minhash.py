@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Powers, binaries, mix, written
+from lodestar.llm.common import Powers, binaries, fresh, mix, written
 from lodestar.llm.components import components
 from lodestar.llm.repeats import NO_ID
 from lodestar.llm.substring_dedup import word_hashes
@@ -223,12 +223,11 @@ def near_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of documents that are kept, columns as they came. Of rows alike in doc_id and text one is kept, if they
     have words."""
+    doc, uid, n = (fresh(documents, name) for name in ("kept_doc", "kept_uid", "kept_rows"))
     found = near_duplicates(documents).where("is_kept")
-    found = found.groupBy(F.col("doc_id").alias("_doc"), F.col("uid").alias("_uid")).agg(F.count("*").alias("_n"))
+    found = found.groupBy(F.col("doc_id").alias(doc), F.col("uid").alias(uid)).agg(F.count("*").alias(n))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = documents.join(
-        found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_uid"))
-    )
-    again = (F.col("_n") > 1) & text.rlike(WORDED)
+    kept = documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(uid)))
+    again = (F.col(n) > 1) & text.rlike(WORDED)
     once = kept.where(~again).select(*documents.columns)
-    return once.unionByName(kept.where(again).dropDuplicates(["_doc", "_uid"]).select(*documents.columns))
+    return once.unionByName(kept.where(again).dropDuplicates([doc, uid]).select(*documents.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import gbt
-from lodestar.llm.common import written
+from lodestar.llm.common import fresh, written
 from lodestar.llm.scoring import features_of, fold, labelled, scored
 
 #: Labelled rows that the trees are fitted on, at most.
@@ -75,6 +75,8 @@ def quality(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
 
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the classifier doesn't reject, columns as they came."""
-    bad = quality(documents, labels).where("predicted = 0").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
+    """The rows of documents that the classifier doesn't reject, columns as they came. Of rows with one doc_id all go, if
+    any is rejected."""
+    name = fresh(documents, "rejected_id")
+    bad = quality(documents, labels).where("predicted = 0").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
