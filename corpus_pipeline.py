@@ -1,19 +1,65 @@
-"""The corpus pipeline: stages over documents, each written and read again by its caller."""
+"""The corpus pipeline: stages over documents, each one's result written as Parquet and read again for the next.
+
+Quality first, as it needs no other document; then near-duplicates, so that repeats are looked for in what stays; then
+passages of the benchmark; tokens last. Stages see all that the one before kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import bpe, decontaminate, minhash, quality, suffix_dedup
+from lodestar.llm.common import table, written
+from lodestar.llm.entries import RANKS
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the least doc_id stays."""
+    return minhash.one_of_each(docs)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in 200-byte strings that are there again go; n_chars follows the text."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, and the text that they decode to; a round trip that fails is an error."""
+    out = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    wrong = F.raise_error(F.concat(F.lit("decoding differs in document "), F.col("doc_id").cast("string")))
+    return out.withColumn("decoded", F.when(same, F.col("decoded")).otherwise(wrong.cast("string"))).select(
+        *docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens")
+    )
 
-from lodestar.llm import entries
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_array", remove_repeats),
+    ("decontaminate", decontaminate_docs),
+    ("tokens", tokenize),
+]
 
 #: Trained models and signatures can't be written in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = entries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to documents. A stage's result is written to the shared folder before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
