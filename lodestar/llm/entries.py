@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, decontaminate, media, minhash, quality, shard, substring_dedup, suffix_dedup, toxicity, url_filter
+from lodestar.llm import bpe, decontaminate, media, minhash, oracle, quality, shard, substring_dedup, suffix_dedup, toxicity, url_filter
 from lodestar.llm.common import table
 
 #: The vocabulary of the encoding query and of the pipeline.
@@ -61,4 +61,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express. The others are held against brute force or libraries in the tests."""
+    return {
+        "op2_substring_dedup": oracle.SUBSTRING_DEDUP,
+        "op3_decontaminate": oracle.DECONTAMINATE,
+        "op8_suffix_dedup": oracle.SUFFIX_DEDUP,
+    }
