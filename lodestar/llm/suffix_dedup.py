@@ -7,7 +7,9 @@ array, made by linear grouping. Suffixes that begin with one 200-byte string are
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,61 +34,93 @@ def _shared(parts: list[bytes]) -> list[int]:
     return out
 
 
-def _repeated_in(pieces: list[tuple[int, bytes]], numbers: list[int]) -> list[list[int]]:
-    """Starts of the 200-byte strings of each piece that are there twice; a piece counts ``numbers`` times.
+@dataclass
+class _Piece:
+    """A string that a suffix array is made of: ``lead`` bytes, the anchor, and what follows; it is there ``number`` times.
+    ``within``: parts of it (begin and end, as seen from the anchor) that are there more often, and how many times more."""
 
-    A piece comes with the place of its anchor. Strings only count as two if they lie alike to their anchors: pieces
-    of one document may overlap, and hold one string at one place of the document."""
+    lead: int
+    data: bytes
+    number: int
+    within: list[tuple[int, int, int]]
+
+    def holds(self, lead: int, data: bytes) -> bool:
+        """Whether it has another piece at the same place of the anchor."""
+        at = self.lead - lead
+        return at >= 0 and self.data[at : at + len(data)] == data
+
+    def times(self, begin: int) -> int:
+        """How often the 200-byte string is there that begins at this place, as seen from the anchor."""
+        return self.number + sum(n for a, b, n in self.within if a <= begin and begin + BYTES <= b)
+
+
+def _repeated_in(pieces: list[_Piece]) -> list[list[int]]:
+    """Starts, as seen from the anchor, of the 200-byte strings of each piece that are there twice.
+
+    Strings only count as two if they lie alike to their anchors: pieces of one document may overlap, and hold one string
+    at one place of the document."""
     symbols: list[int] = []
-    owner, starts = [], []
-    for k, (_, piece) in enumerate(pieces):
+    starts = []
+    for piece in pieces:
         starts.append(len(symbols))
-        owner += [k] * (len(piece) + 1)
-        symbols += [b + 1 for b in piece]
-        symbols.append(0)  # ends a piece
+        symbols += piece.data
+        symbols.append(-1)  # ends a piece
     found: list[list[int]] = [[] for _ in pieces]
     run: list[tuple[int, int]] = []
     string = None
 
     def close() -> None:
         alike: dict[int, int] = {}
-        for k, at in run:
-            alike[at - pieces[k][0]] = alike.get(at - pieces[k][0], 0) + numbers[k]
-        for k, at in run:
-            if alike[at - pieces[k][0]] > 1:
-                found[k].append(at)
+        for k, begin in run:
+            alike[begin] = alike.get(begin, 0) + pieces[k].times(begin)
+        for k, begin in run:
+            if alike[begin] > 1:
+                found[k].append(begin)
 
+    ends = np.array(starts[1:] + [len(symbols)]) - 1
     for p in suffix_array(symbols):
-        k = owner[p]
-        at = p - starts[k]
-        piece = pieces[k][1]
-        if len(piece) - at < BYTES:
+        k = bisect_right(starts, p) - 1
+        if ends[k] - p < BYTES:
             continue
-        here = piece[at : at + BYTES]
+        piece = pieces[k]
+        at = p - starts[k]
+        here = piece.data[at : at + BYTES]
         if here != string:
             close()
             run, string = [], here
-        run.append((k, at))
+        run.append((k, at - piece.lead))
     close()
     return found
 
 
 def settle(contexts: list[tuple[int, int, int, bytes]]) -> list[list[tuple[int, int]]]:
-    """Flag the 200-byte strings of each context that another context of the anchor has too."""
+    """Flag the 200-byte strings of each context that another context of the anchor has too.
+
+    Contexts differ in how far they happen to agree with some other. Of the pieces that gives, those that lie within a
+    larger one are repeats, and are counted there; the suffix array is made of the others."""
     after = _shared([data[lead:] for _, _, lead, data in contexts])
     before = _shared([data[:lead][::-1] for _, _, lead, data in contexts])
-    pieces = [
-        (b, data[lead - b : lead + a] if a + b >= BYTES else b"")
+    wanted = [
+        (b, data[lead - b : lead + a]) if a + b >= BYTES else None
         for (_, _, lead, data), a, b in zip(contexts, after, before, strict=True)
     ]
-    numbers = Counter(pieces)
-    different = [p for p in numbers if p[1]]
-    found = dict(zip(different, _repeated_in(different, [numbers[p] for p in different]), strict=True))
+    numbers = Counter(w for w in wanted if w)
+    pieces: list[_Piece] = []
+    found: dict[tuple[int, bytes], list[int]] = {}
+    for (lead, data), number in sorted(numbers.items(), key=lambda x: (-len(x[0][1]), x[0])):
+        larger = next((p for p in pieces if p.holds(lead, data)), None)
+        if larger:
+            larger.within.append((-lead, len(data) - lead, number))
+            found[lead, data] = list(range(-lead, len(data) - lead - BYTES + 1))
+        else:
+            pieces.append(_Piece(lead, data, number, []))
+    for piece, begins in zip(pieces, _repeated_in(pieces), strict=True):
+        found[piece.lead, piece.data] = sorted(begins)
     out = []
-    for (_, _, lead, _), piece in zip(contexts, pieces, strict=True):
+    for (_, _, lead, _), w in zip(contexts, wanted, strict=True):
         spans: list[tuple[int, int]] = []
-        for at in sorted(found.get(piece, ())):
-            start = lead - piece[0] + at
+        for begin in found.get(w, ()):
+            start = lead + begin
             if spans and spans[-1][1] >= start:
                 spans[-1] = spans[-1][0], start + BYTES
             else:
