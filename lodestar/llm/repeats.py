@@ -32,8 +32,8 @@ NO_ID = (1 << 63) - 1
 HOT_CONTEXTS = 5_000
 RANGES = 8
 
-_ANCHORS = "h long, c long, doc long, tk int, pos int"
-_CONTEXTS = "h long, c long, doc long, tk int, pos int, lead int, context binary"
+_ANCHORS = "h long, c long, doc long, tk int, pos int, step int, times int"
+_CONTEXTS = "h long, c long, doc long, tk int, pos int, more int, lead int, context binary"
 _SPANS = "doc long, tk int, begin int, finish int"
 
 
@@ -86,6 +86,23 @@ def anchors(units: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.n
     return pos, h[pos].view(np.int64), c.view(np.int64)
 
 
+def _rows(pos: np.ndarray, h: np.ndarray, c: np.ndarray, w: int) -> tuple[np.ndarray, ...]:
+    """One row for anchors of a document that are alike, context and all, and lie evenly at short steps, as in periodic
+    text: the first position, and the step and number of them."""
+    if len(np.unique(h)) == len(h):
+        return pos, h, c, np.zeros(len(h)), np.ones(len(h))
+    order = np.lexsort((pos, c, h))
+    pos, h, c = pos[order], h[order], c[order]
+    gap = np.diff(pos)
+    same = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (gap <= w)
+    new = np.concatenate([[True], ~same])
+    new[2:] |= same[1:] & same[:-1] & (gap[1:] != gap[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(pos)))
+    step = np.where(times > 1, pos[np.minimum(first + 1, len(pos) - 1)] - pos[first], 0)
+    return pos[first], h[first], c[first], step, times
+
+
 def _find(kind: Kind):
     def run(batches):
         for batch in batches:
@@ -94,10 +111,14 @@ def _find(kind: Kind):
             for doc, tk, text in zip(docs, keys, binaries(batch.column(2)), strict=True):
                 pos, h, c = anchors(kind.units(text), kind)
                 if len(pos):
-                    parts.append((h, c, np.full(len(pos), doc), np.full(len(pos), tk, np.int32), pos.astype(np.int32)))
+                    pos, h, c, step, times = _rows(pos, h, c, kind.window)
+                    n = len(pos)
+                    numbers = (x.astype(np.int32) for x in (np.full(n, tk), pos, step, times))
+                    parts.append((h, c, np.full(n, doc), *numbers))
             if parts:
                 columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "doc", "tk", "pos"])
+                names = ["h", "c", "doc", "tk", "pos", "step", "times"]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     return run
 
@@ -110,7 +131,7 @@ def _repeated(found: DataFrame, kind: Kind) -> DataFrame:
         "*",
         F.min("c").over(by_h).alias("low"),
         F.max("c").over(by_h).alias("high"),
-        F.count("*").over(by_c).alias("n"),
+        F.sum("times").over(by_c).alias("n"),
         F.min("doc").over(by_c).alias("first"),
         F.row_number().over(by_c.orderBy("doc", "tk", "pos")).alias("nth"),
     ).where("low < high or n > 1")
@@ -118,7 +139,9 @@ def _repeated(found: DataFrame, kind: Kind) -> DataFrame:
         full, cut = F.col("doc") > F.col("first"), F.col("doc") == F.col("first")
     else:
         full, cut = F.col("n") > 1, F.col("nth") == 1
-    rows = rows.select("h", "c", "doc", "tk", "pos", full.alias("full"), (cut & (F.col("low") < F.col("high"))).alias("cut"))
+    more = (F.col("step") * (F.col("times") - 1)).alias("more")
+    cut = (cut & (F.col("low") < F.col("high"))).alias("cut")
+    rows = rows.select("h", "c", "doc", "tk", "pos", more, full.alias("full"), cut)
     return rows.where("full or cut").withColumn("n_cut", F.sum(F.col("cut").cast("long")).over(by_h))
 
 
@@ -148,11 +171,12 @@ def _cut(kind: Kind, hot: int):
                 units = kind.units(text)
                 for p in places:
                     for key, start, end in pieces(units, p["pos"], p["h"], p["n_cut"]):
-                        rows.append((key, p["c"], doc, tk, p["pos"], p["pos"] - start, kind.cut(units, start, end)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                        lead, context = p["pos"] - start, kind.cut(units, start, end)
+                        rows.append((key, p["c"], doc, tk, p["pos"], p["more"], lead, context))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             arrays = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "c", "doc", "tk", "pos", "lead", "context"])
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "c", "doc", "tk", "pos", "more", "lead", "context"])
 
     return run
 
@@ -160,10 +184,10 @@ def _cut(kind: Kind, hot: int):
 def _settle(kind: Kind):
     def spans(group: list[tuple]) -> Iterator[tuple]:
         if len(group) > 1:
-            found = kind.settle([(c, doc, lead, context) for _, c, doc, _, _, lead, context in group])
-            for (_, _, doc, tk, pos, lead, _), flagged in zip(group, found, strict=True):
+            found = kind.settle([(c, doc, lead, context) for _, c, doc, *_, lead, context in group])
+            for (_, _, doc, tk, pos, more, lead, _), flagged in zip(group, found, strict=True):
                 for begin, finish in flagged:
-                    yield doc, tk, pos - lead + begin, pos - lead + finish
+                    yield doc, tk, pos - lead + begin, pos - lead + finish + more
 
     def run(batches):
         group: list[tuple] = []
@@ -203,7 +227,7 @@ def repeats(documents: DataFrame, kind: Kind, hot: int = HOT_CONTEXTS) -> DataFr
     wanted = (
         places.where("cut")
         .groupBy("doc", "tk")
-        .agg(F.collect_set(F.struct("h", "c", "pos", "n_cut")).alias("places"))
+        .agg(F.collect_set(F.struct("h", "c", "pos", "more", "n_cut")).alias("places"))
     )
     contexts = docs.join(wanted, ["doc", "tk"]).select("doc", "tk", "text", "places").mapInArrow(_cut(kind, hot), _CONTEXTS)
     settled = contexts.repartition("h").sortWithinPartitions("h", "doc", "tk", "pos").mapInArrow(_settle(kind), _SPANS)
@@ -211,7 +235,7 @@ def repeats(documents: DataFrame, kind: Kind, hot: int = HOT_CONTEXTS) -> DataFr
         "doc",
         "tk",
         F.greatest(F.col("pos") - F.lit(kind.window - 1), F.lit(0)).alias("begin"),
-        (F.col("pos") + F.lit(kind.length)).alias("finish"),
+        (F.col("pos") + F.col("more") + F.lit(kind.length)).alias("finish"),
     )
     return (
         throughout.unionByName(settled)
