@@ -8,6 +8,8 @@ and images match if enough of their pairs agree on one similarity transform.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +23,13 @@ CORNERS = 28
 SCALES = (1.0, 1.26, 1.59, 2.0)
 PATCH = 9
 #: Two descriptors match up to this Hamming distance; two images from this many agreeing matches.
-DISTANCE, AGREE = 60, 5
+DISTANCE, AGREE = 60, 4
 
 _RNG = np.random.default_rng(20)
 _PAIRS = np.clip(np.round(_RNG.normal(0, PATCH / 2.5, (BITS, 4))), -PATCH, PATCH)
 _TABLE_BITS = np.stack([_RNG.choice(BITS, KEY_BITS, replace=False) for _ in range(TABLES)])
 
-_DESCRIBED = "image_id long, slot int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
+_DESCRIBED = "image_id long, media_key long, slot int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -93,6 +95,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         level = _smooth(resized(image, h, w))
         gy, gx = np.gradient(level)
+        level = _smooth(level, 3)
         a, b, c = (_smooth(t, 2) for t in (gx * gx, gx * gy, gy * gy))
         strength = a * c - b * b - 0.05 * (a + c) ** 2
         inner = strength.copy()
@@ -123,29 +126,31 @@ def _describe(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            ids, slots, places, bits = [], [], [], []
-            for image_id, data in zip(part.column(0).to_pylist(), binaries(part.column(1)), strict=True):
+            ids, media_keys, slots, places, bits = [], [], [], [], []
+            for image_id, key, data in zip(*(part.column(i).to_pylist() for i in (0, 1)), binaries(part.column(2)), strict=True):
                 image = decode(data)
                 if image is not None and min(image.shape) >= 2 * PATCH:
                     p, b = describe(image)
                     ids += [image_id] * len(p)
+                    media_keys += [key] * len(p)
                     slots += range(len(p))
                     places.append(p)
                     bits.append(b)
             p = np.concatenate(places) if places else np.zeros((0, 4))
             b = np.concatenate(bits) if bits else np.zeros((0, BITS), bool)
             words = np.packbits(b, axis=1).view(np.int64).reshape(len(b), 4)
-            columns = [pa.array(ids, pa.int64()), pa.array(slots, pa.int32())]
+            columns = [pa.array(ids, pa.int64()), pa.array(media_keys, pa.int64()), pa.array(slots, pa.int32())]
             columns += [pa.array(p[:, i].astype(np.float32)) for i in range(4)]
             columns += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)]
-            names = ["image_id", "slot", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
+            names = ["image_id", "media_key", "slot", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """The descriptors of images(image_id, media), numbered within each image."""
+    """The descriptors of images(image_id, media), numbered within each image, and a hash of the media."""
     rows = images.where("image_id is not null and media is not null")
-    return rows.select(F.col("image_id").cast("long"), F.col("media").cast("binary")).mapInArrow(_describe, _DESCRIBED)
+    media = F.col("media").cast("binary")
+    return rows.select(F.col("image_id").cast("long"), F.xxhash64(media), media).mapInArrow(_describe, _DESCRIBED)
 
 
 def _enter(batches):
@@ -198,14 +203,21 @@ def _consent(least: int):
 
 
 def find_copies(queries: DataFrame, images: DataFrame, distance: int = DISTANCE, agree: int = AGREE) -> DataFrame:
-    """query_id, image_id, agreeing: the images that a query image is a cropped, scaled, turned or edited copy of.
+    """The images that a query image is a cropped, scaled, turned or edited copy of: query_id, image_id, class_id, agreeing.
 
-    queries(image_id, media), images(image_id, media); media is binary PGM or PPM. Null ids and media, other formats, and
+    queries(image_id, media), images(image_id, media); media is binary PGM or PPM. Images of the same bytes are a class, named
+    by its least image_id. Rows with a query_id link it to a class (image_id is the class_id; agreeing: how many matches do);
+    rows without one say which class an image is in, for classes of two and more. Null ids and media, other formats, and
     images too small or too even to have corners have no row. Repeated image_ids count as one image. Every image is in the
     index. Pairs of descriptors are taken once however many tables they meet in.
     """
-    index = written(descriptors(images), "descriptors")
+    described = written(descriptors(images), "descriptors")
     asked = written(descriptors(queries), "descriptors")
+    ids = described.select("image_id", "media_key").distinct()
+    heads = ids.groupBy("media_key").agg(F.min("image_id").alias("class_id"), F.count("*").alias("n"))
+    heads = written(heads, "classes")
+    index = described.join(heads.select("media_key", F.col("class_id").alias("image_id")), ["media_key", "image_id"])
+    index = written(index.drop("media_key"), "index")
     one = entries(asked).select("key", F.col("image_id").alias("query_id"), F.col("slot").alias("query_slot"))
     met = one.join(entries(index), "key").drop("key").distinct()
     a = asked.select(*(F.col(c).alias(f"a_{c}") for c in asked.columns))
@@ -217,23 +229,30 @@ def find_copies(queries: DataFrame, images: DataFrame, distance: int = DISTANCE,
     votes = both.where(apart <= distance).select("query_id", "image_id", match.alias("match"))
     pairs = votes.groupBy("query_id", "image_id").agg(F.collect_set("match").alias("matches"))
     pairs = pairs.where(F.size("matches") >= agree)
-    return pairs.mapInArrow(_consent(agree), "query_id long, image_id long, agreeing long")
+    links = pairs.mapInArrow(_consent(agree), "query_id long, image_id long, agreeing long").select(
+        "query_id", "image_id", F.col("image_id").alias("class_id"), "agreeing"
+    )
+    nothing = F.lit(None).cast("long")
+    members = ids.join(heads.where("n > 1"), "media_key").select(
+        nothing.alias("query_id"), "image_id", "class_id", nothing.alias("agreeing")
+    )
+    return links.unionByName(members)
 
 
 # --- images for the query: no table has any, so embeddings are drawn
 
 
+@lru_cache(maxsize=4)
+def _patterns(dim: int, size: int) -> np.ndarray:
+    """A fixed smooth random pattern for each coordinate."""
+    rng = np.random.default_rng(dim)
+    return np.stack([_smooth(rng.standard_normal((size, size)), 8) for _ in range(dim)]).reshape(dim, -1)
+
+
 def draw(vector: np.ndarray, size: int = 64) -> np.ndarray:
-    """A grey picture of a vector: every four coordinates place a rectangle, give it sides and a brightness."""
-    image = np.full((size, size), 128, np.float32)
-    v = np.zeros(-(-max(4, len(vector)) // 4) * 4)
-    v[: len(vector)] = vector
-    share = (np.tanh(v / (float(np.std(v)) or 1.0)) + 1) / 2
-    for x, y, side, light in share.reshape(-1, 4):
-        w, h = int(size * (0.1 + 0.3 * side)), int(size * (0.4 - 0.3 * side))
-        left, top = int(x * (size - w)), int(y * (size - h))
-        image[top : top + h, left : left + w] = 255 * light
-    return _smooth(image)
+    """A grey picture of a vector: the sum of the patterns of its coordinates, each as strong as the coordinate."""
+    picture = (vector @ _patterns(len(vector), size)).reshape(size, size)
+    return np.clip(128 + 50 * picture / (float(picture.std()) or 1.0), 0, 255)
 
 
 def edited(image: np.ndarray, seed: int) -> np.ndarray:

@@ -113,10 +113,14 @@ def test_media(spark):
         [(100, None), (None, bytearray(b"P5 2 2 255\n1234")), (101, bytearray(b"P5 2 2 255\n1234")), (102, bytearray(b"GIF89a")),
          (103, bytearray(b"P5 9")), (104, bytearray(b"P6 40 40 255\n" + b"\x07" * 4800))], "image_id long, media binary")
     images = media.pictures(vectors).unionByName(odd)
-    out = {(r["query_id"], r["image_id"]) for r in media.find_copies(queries.unionByName(odd), images).collect()}
+    twin = media.pictures(vectors.where("vec_id in (3, 5)")).selectExpr("image_id + 200 AS image_id", "media")
+    found = media.find_copies(queries.unionByName(odd), images.unionByName(twin)).collect()
+    members = {(r["image_id"], r["class_id"]) for r in found if r["query_id"] is None}
+    assert members == {(3, 3), (203, 3), (5, 5), (205, 5)}
+    out = {(r["query_id"], r["image_id"]) for r in found if r["query_id"] is not None}
     assert len(out & {(i, i) for i in range(12)}) >= 11
     assert len(out - {(i, i) for i in range(12)}) <= 1
     assert media.find_copies(queries.limit(0), images).collect() == []
-    image = media.draw(np.arange(64))
+    image = media.draw(np.arange(64.0))
     assert (media.decode(media.encode_pgm(image)) == np.round(image)).all()
     assert media.decode(b"P5 # c\n2 1 255\n\x01\x02").tolist() == [[1, 2]]
