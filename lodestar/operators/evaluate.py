@@ -39,3 +39,10 @@ def summary(methods: dict[str, DataFrame], truth: DataFrame, ks: Sequence[int] =
         part = part.select(F.lit(name).alias("method"), "k", "top1_in_k", "set_recall")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def report(results: DataFrame) -> str:
+    """A Markdown table of a summary: a row for each method and k."""
+    rows = [results.columns, ["---"] * len(results.columns)]
+    rows += [[f"{x:.1f}" if isinstance(x, float) else str(x) for x in r] for r in results.orderBy("method", "k").collect()]
+    return "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"

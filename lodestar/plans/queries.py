@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import codebook, linalg
 from lodestar.operators import baselines, codebook_fit, encode, evaluate, ivf, kmeans, search
 from lodestar.operators.model import Model
-from lodestar.sources.vectors import as_queries, read_vectors
+from lodestar.sources.vectors import as_queries, in_ranges, read_vectors
 
 DIM, K, NLIST, NPROBE, PARTS, ENTRIES = 64, 10, 16, 4, 8, 16
 FEW, QUERIES = 5, 20
@@ -274,6 +274,14 @@ def _(spark, d):
     return kmeans.sample(vectors(spark, d), 100).select("vec_id", "sample_key")
 
 
+TRAINING = [(0, 50), (350, 360), (490, 500)]
+
+
+@query("training_rows", "SELECT vec_id FROM embeddings WHERE " + " OR ".join(f"(vec_id >= {a} AND vec_id < {b})" for a, b in TRAINING))
+def _(spark, d):
+    return in_ranges(vectors(spark, d), TRAINING).select("vec_id")
+
+
 def kmeans_sql(k: int, rounds: int) -> str:
     """CTEs up to k<rounds> (centroids: list_id, c)."""
     out = f"{V}, k0 AS (SELECT vec_id AS list_id, e AS c FROM v WHERE vec_id < {k})"

@@ -78,3 +78,11 @@ def gaussian(spark: SparkSession, n: int, dim: int, seed: int = 0, partitions: i
 
     blocks = spark.range(0, -(-n // block), 1, partitions or spark.sparkContext.defaultParallelism)
     return blocks.mapInArrow(run, VECTORS)
+
+
+def in_ranges(vectors: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Rows whose vec_id lies in one of the half-open ranges: a training set by position."""
+    inside = F.lit(False)
+    for begin, end in ranges:
+        inside = inside | ((F.col("vec_id") >= begin) & (F.col("vec_id") < end))
+    return vectors.where(inside)

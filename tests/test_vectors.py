@@ -169,6 +169,7 @@ def test_recall(data, spark):
     for bits in (2, 4):
         m = Model(64, bits)
         found[bits] = search.code_topk(encode(data, m), queries, m, 64)
+    assert evaluate.report(evaluate.summary({"4": found[4]}, truth, (1,))).startswith("| method | k | top1_in_k | set_recall |\n")
     got = {(r["method"], r["k"]): r for r in evaluate.summary({str(b): f for b, f in found.items()}, truth).collect()}
     assert got["4", 8]["set_recall"] > 80 > got["2", 8]["set_recall"] > 50
     assert got["2", 1]["top1_in_k"] > 90 and got["4", 64]["top1_in_k"] == 100
