@@ -37,3 +37,15 @@ def components(links: DataFrame) -> DataFrame:
         label = moved.select("node", "component")
         if moved.where("was <> component").isEmpty():
             return label
+
+
+def roots(pointers: DataFrame) -> DataFrame:
+    """pointers(node long, parent long), each node with one parent and none its own ancestor -> node, component: where
+    following the parents ends. Roots aren't among the nodes."""
+    label = written(pointers.select("node", F.col("parent").alias("component")), "labels")
+    while True:
+        over = label.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
+        moved = written(label.join(over, "component", "left"), "labels")
+        label = moved.select("node", F.coalesce("beyond", "component").alias("component"))
+        if moved.where("beyond is not null").isEmpty():
+            return label

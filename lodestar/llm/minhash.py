@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Powers, binaries, fresh, mix, written
-from lodestar.llm.components import components
+from lodestar.llm.components import components, roots
 from lodestar.llm.repeats import NO_ID
 from lodestar.llm.substring_dedup import word_hashes
 
@@ -60,7 +60,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
             break
         rate = max(1, low)
         limit = np.minimum(weights[has] - low, rate)
-        parts.append((mix(ids[has] + np.uint64(level) * _GOLD), owner[has], np.full(len(has), rate), limit))
+        parts.append((mix(ids[has] + np.uint64(level * int(_GOLD) % (1 << 64))), owner[has], np.full(len(has), rate), limit))
         low, level = low + rate, level + 1
     if not parts:
         return best
@@ -135,8 +135,7 @@ def _compare(least: float):
                         leader, bag = a, shingles(text)
                 elif similarity_at_least(bag, shingles(text), least):
                     links.append((a, b))
-            columns = list(zip(*links, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
+            yield _link_batch(links)
 
     return run
 
@@ -155,6 +154,111 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return ordered.mapInArrow(_compare(least), "a long, b long")
 
 
+def _placed(rows: DataFrame, parts: DataFrame, by: str, name: str) -> DataFrame:
+    """The component of the text in column ``by``; one without links is its own."""
+    found = rows.join(parts, F.col(by) == F.col("node"), "left")
+    return found.withColumn(name, F.coalesce("component", by)).drop("node", "component")
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, component) with the components joined that further links(a, b) connect. Only the links between
+    different components go through the rounds of ``components``."""
+    ends = _placed(_placed(links, parts, "a", "part_a"), parts, "b", "part_b")
+    between = written(ends.where("part_a <> part_b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct(), "links")
+    if between.isEmpty():
+        return parts
+    more = components(between).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    every = parts.unionByName(more.select(F.col("was").alias("node"), F.col("was").alias("component"))).distinct()
+    moved = every.join(more, F.col("component") == F.col("was"), "left")
+    return written(moved.select("node", F.coalesce("now", "component").alias("component")), "parts")
+
+
+def _compare_blocks(least: float):
+    """Links between rows of a unit: texts of two blocks that share a bucket and aren't of one component by then."""
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        of: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in of:
+                x = of[x]
+            return x
+
+        low = min(r[3] for r in rows)
+        high = max(r[3] for r in rows)
+        a = [r for r in rows if r[3] == low]
+        b = [r for r in rows if r[3] == high]
+        width = max(len(r[6]) for r in b)
+        keys = np.array([r[6] + [r[6][0]] * (width - len(r[6])) for r in b], np.int64)
+        sizes = np.array([r[5] for r in b])
+        bags: dict[int, tuple] = {}
+
+        def bag(row: tuple) -> tuple:
+            if row[4] not in bags:
+                bags[row[4]] = shingles(row[8])
+            return bags[row[4]]
+
+        out = []
+        for x in a:
+            near = np.isin(keys, x[6]).any(1) & (sizes >= least * x[5]) & (least * sizes <= x[5])
+            for k in np.flatnonzero(near):
+                y = b[k]
+                if low == high and y[4] <= x[4]:
+                    continue
+                one, two = find(x[7]), find(y[7])
+                if one != two and similarity_at_least(bag(x), bag(y), least):
+                    of[one] = two
+                    out.append((x[4], y[4]))
+        return out
+
+    def run(batches):
+        unit: list[tuple] = []
+        for batch in batches:
+            found = []
+            columns = [c.to_pylist() for c in batch.columns[:-1]] + [binaries(batch.columns[-1])]
+            for row in zip(*columns, strict=True):
+                if unit and unit[0][:3] != row[:3]:
+                    found += links(unit)
+                    unit = []
+                unit.append(row)
+            yield _link_batch(found)
+        yield _link_batch(links(unit) if unit else [])
+
+    return run
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*links, strict=True)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
+
+
+def _blockwise(mixed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links between texts of different components that share a bucket; mixed(key, uid, size, leader, part): the members of
+    buckets with several components.
+
+    Buckets that share texts form a field. A field's texts are cut into blocks, and every two blocks of a field meet in a
+    unit of at most 2 * CHUNK texts, where pairs are compared until their components are linked."""
+    edges = mixed.where("leader <> uid").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
+    nearest = edges.groupBy("b").agg(F.min("a").alias("parent")).select(F.col("b").alias("node"), "parent")
+    fields = _joined(roots(nearest), edges)
+    rows = mixed.groupBy("uid").agg(
+        F.first("size").alias("size"), F.first("part").alias("part"), F.collect_set("key").alias("keys")
+    )
+    rows = _placed(rows, fields, "uid", "field")
+    order = Window.partitionBy("field").orderBy("uid")
+    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / CHUNK).cast("long"))
+    rows = rows.withColumn("blocks", F.max("block").over(Window.partitionBy("field")))
+    units = rows.join(texts, "uid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "blocks")))
+    units = units.select(
+        "field",
+        F.least("block", "other").alias("one"),
+        F.greatest("block", "other").alias("two"),
+        *("block", "uid", "size", "keys", "part", "text"),
+    )
+    ordered = units.repartition("field", "one", "two").sortWithinPartitions("field", "one", "two", "uid")
+    return ordered.mapInArrow(_compare_blocks(least), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """Classes of near-duplicates: texts that a chain of pairs of weighted Jaccard similarity ``least`` or more connects.
 
@@ -164,9 +268,9 @@ def near_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
     texts without words, are like no other: their class is their own. A null doc_id counts as larger than all others and
     stays null. Texts are told apart by a 64-bit hash.
 
-    Equal texts are merged first. A band's bucket is a star around its least text; when the stars' links are verified
-    and joined to components, the pairs of a bucket that lie in different components are verified too, so that
-    every link between texts that share a bucket counts, without all pairs of a bucket being made.
+    Equal texts are merged first. Each text is compared with the least one of all its buckets, then with the least one
+    of each bucket where that is still in another component, then with the members of its buckets that are, block by
+    block, until they are linked. So every link between texts that share a bucket counts, without rows for all pairs.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("uid"), text.alias("text"), text.rlike(WORDED).alias("worded"))
@@ -187,26 +291,19 @@ def near_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
     rows = docs.withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
     texts = written(rows.join(wanted, ["uid", "doc"]).select("uid", "text").dropDuplicates(["uid"]), "texts")
 
-    stars = members.where("leader <> uid").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
-    links = written(_verified(stars, texts, least), "links")
-    first = components(links)
-    placed = members.join(first, F.col("uid") == F.col("node"), "left").select(
-        "key", "uid", "size", "leader", F.coalesce("component", "uid").alias("part")
-    )
+    near = members.groupBy("uid").agg(F.min("leader").alias("a")).where("a <> uid").select("a", F.col("uid").alias("b"))
+    near = written(near, "pairs")
+    links = written(_verified(near, texts, least), "links")
+    parts = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))  # a < b, and one a for each b
+    apart = _placed(_placed(members, parts, "uid", "part"), parts, "leader", "leader_part").where("part <> leader_part")
+    stars = apart.select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    parts = _joined(parts, _verified(stars, texts, least))
+    placed = _placed(members, parts, "uid", "part")
     mixed = (
         placed.withColumn("low", F.min("part").over(by_key)).withColumn("high", F.max("part").over(by_key)).where("low < high")
     )
-    one = mixed.select("key", F.col("uid").alias("a"), F.col("size").alias("size_a"), F.col("part").alias("part_a"))
-    two = mixed.select("key", F.col("uid").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"), "leader")
-    cross = (
-        one.join(two, "key")
-        .where("a < b and part_a <> part_b and a <> leader")  # pairs with the leader have been verified
-        .where((F.col("size_a") >= F.col("size_b") * least) & (F.col("size_b") >= F.col("size_a") * least))
-        .select("a", "b")
-        .distinct()
-    )
-    more = written(_verified(cross, texts, least), "links")
-    found = components(links.unionByName(more))
+    mixed = written(mixed.select("key", "uid", "size", "leader", "part"), "mixed")
+    found = _joined(parts, _blockwise(mixed, texts, least))
     placed = written(
         docs.join(found, F.col("uid") == F.col("node"), "left").select(
             "doc", "uid", "worded", F.coalesce("component", "uid").alias("component")

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lodestar.llm import minhash
 from lodestar.llm.components import components
@@ -46,7 +47,9 @@ def test_signatures_estimate_weighted_jaccard():
     assert minhash.similarity_at_least(*bags, true) and not minhash.similarity_at_least(*bags, true + 0.01)
 
 
-def test_against_brute_force(documents):
+@pytest.mark.parametrize("chunk", [512, 3])  # 3: every star and field is cut into many
+def test_against_brute_force(documents, monkeypatch, chunk):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
     r = random.Random(5)
     base = [[r.choice("abcdefghij") * r.randint(1, 5) for _ in range(r.choice([6, 40, 150]))] for _ in range(12)]
     rows = []
