@@ -37,10 +37,29 @@ def suffix_array(text: list[int]) -> list[int]:
 
     left = list(range(n))  # left[i] == i: open; else where to look further to the left
     before = [-1] * n  # the previous smaller suffix
+    size = list(map(len, members))  # of a group, without those who have gone to another
+
+    def move(some: list[int], old: int) -> None:
+        """Make a group of some of a group's members, just above it. All of them are one already."""
+        if len(some) == size[old]:
+            return
+        to, over = len(members), above[old]
+        members.append(some)
+        size.append(len(some))
+        size[old] -= len(some)
+        below.append(old)
+        above.append(over)
+        above[old] = to
+        if over >= 0:
+            below[over] = to
+        for j in some:
+            group[j] = to
+
     g = top
     while g >= 0:
-        inside = [i for i in members[g] if group[i] == g]
-        members[g] = inside
+        inside = members[g]
+        if size[g] != len(inside):
+            inside = members[g] = [i for i in inside if group[i] == g]
         for i in inside:
             left[i] = i - 1
         finds: dict[int, int] = {}
@@ -49,30 +68,21 @@ def suffix_array(text: list[int]) -> list[int]:
             while j >= 0 and left[j] != j:
                 j = left[j]
             k = i
-            while k > j and left[k] > j:  # shorten the way for those who come later
+            while left[k] > j:  # shorten the way for those who come later
                 left[k], k = j, left[k]
             before[i] = j
             if j >= 0:
                 finds[j] = finds.get(j, 0) + 1
-        by_number: dict[int, list[int]] = {}
-        for j, times in finds.items():
-            by_number.setdefault(times, []).append(j)
-        for times in sorted(by_number, reverse=True):
-            new: dict[int, int] = {}
-            for j in by_number[times]:
-                old = group[j]
-                to = new.get(old)
-                if to is None:
-                    to = new[old] = len(members)
-                    members.append([])
-                    over = above[old]
-                    below.append(old)
-                    above.append(over)
-                    above[old] = to
-                    if over >= 0:
-                        below[over] = to
-                members[to].append(j)
-                group[j] = to
+        if len(finds) == 1:
+            for j in finds:
+                if size[group[j]] > 1:
+                    move([j], group[j])
+        elif finds:
+            alike: dict[tuple[int, int], list[int]] = {}
+            for j, times in finds.items():
+                alike.setdefault((-times, group[j]), []).append(j)
+            for (_, old), some in sorted(alike.items()) if len(alike) > 1 else alike.items():
+                move(some, old)
         g = below[g]
 
     place, at = [0] * len(members), 0  # the next free place of each group

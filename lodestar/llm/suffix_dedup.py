@@ -77,11 +77,14 @@ def _repeated_in(pieces: list[_Piece]) -> list[list[int]]:
             if alike[begin] > 1:
                 found[k].append(begin)
 
-    ends = np.array(starts[1:] + [len(symbols)]) - 1
+    whole = bytearray(len(symbols))  # where a string of the full length begins
+    for start, piece in zip(starts, pieces, strict=True):
+        n = max(0, len(piece.data) - BYTES + 1)
+        whole[start : start + n] = b"\1" * n
     for p in suffix_array(symbols):
-        k = bisect_right(starts, p) - 1
-        if ends[k] - p < BYTES:
+        if not whole[p]:
             continue
+        k = bisect_right(starts, p) - 1
         piece = pieces[k]
         at = p - starts[k]
         here = piece.data[at : at + BYTES]
