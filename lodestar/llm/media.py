@@ -175,16 +175,22 @@ def agreeing(matches: np.ndarray) -> int:
     most that any single match's own transform brings near to their places."""
     a, b = matches[:, :4], matches[:, 4:]
     factor, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
+    dx, dy = (a[None, :, k] - a[:, None, k] for k in (0, 1))
+    co, si = np.cos(turn)[:, None], np.sin(turn)[:, None]
+    along, across = co * dx - si * dy, si * dx + co * dy
+    reach = 3.0 * np.maximum(1.0, b[None, :, 2])
+    near = []
+    for f in (factor, factor * 0.89, factor * 1.12):
+        x = b[:, None, 0] + f[:, None] * along - b[None, :, 0]
+        y = b[:, None, 1] + f[:, None] * across - b[None, :, 1]
+        near.append(np.hypot(x, y) <= reach)
+    near = np.unique(np.concatenate(near), axis=0)
     best = 0
-    co, si = np.cos(turn), np.sin(turn)
-    for i in range(len(matches)):
-        for f in (factor[i], factor[i] * 0.89, factor[i] * 1.12):
-            dx, dy = a[:, 0] - a[i, 0], a[:, 1] - a[i, 1]
-            x = b[i, 0] + f * (co[i] * dx - si[i] * dy)
-            y = b[i, 1] + f * (si[i] * dx + co[i] * dy)
-            near = np.hypot(x - b[:, 0], y - b[:, 1]) <= 3.0 * np.maximum(1.0, b[:, 2])
-            places = (len(np.unique(np.round(side[near, :2]), axis=0)) for side in (a, b))
-            best = max(best, min(places))
+    for k in np.argsort(-near.sum(1), kind="stable"):
+        if near[k].sum() <= best:  # no more than that can count
+            break
+        places = (len(np.unique(np.round(side[near[k], :2]), axis=0)) for side in (a, b))
+        best = max(best, min(places))
     return best
 
 
