@@ -18,9 +18,14 @@ def encoded_stream(vectors: DataFrame, index: Index) -> DataFrame:
 
 
 def append_stream(vectors: DataFrame, index: Index, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream to the codes of a saved index; what is there when it starts is taken, then it ends."""
-    writer = encoded_stream(vectors, index).writeStream.format("parquet").option("path", f"{path}/codes")
-    writer = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if index.centroids is not None:
-        writer = writer.partitionBy("list_id")
-    return writer.start()
+    """Append a stream to the codes of a saved index; what is there when it starts is taken, then it ends.
+
+    Each micro-batch is an ordinary append: the file sink would keep a log that hides the files the index was saved with. A
+    batch that is repeated after a failure is appended again, so readers that need each row once drop repeated vec_ids."""
+    by = [] if index.centroids is None else ["list_id"]
+
+    def append(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").partitionBy(*by).parquet(f"{path}/codes")
+
+    writer = encoded_stream(vectors, index).writeStream.foreachBatch(append)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
