@@ -1,9 +1,10 @@
-"""Sharding by Karmarkar-Karp differencing, in two levels.
+"""Sharding by Karmarkar-Karp differencing.
 
-Groups that must stay together (equal texts) are dealt by hash into parts of bounded size. In each part, the two
-partial partitions of the largest spread are combined again and again, the larger sums of one against the smaller
-sums of the other, until one is left: that deals the part's groups to k bins. The same differencing then combines
-the parts' own bin sums, which are few, and says which bin of a part is which shard.
+Groups that must stay together (equal texts) are dealt by hash into parts of bounded size. Each part bundles its light
+groups, in ever smaller bundles towards its end, and hands up every heavier group as it is. One differencing takes the
+bundles of all parts as single numbers: the two partial partitions of the largest spread are combined again and again,
+the larger sums of one against the smaller sums of the other, until one is left. So a heavy group has the bundles of
+all parts against it, and the small bundles level what the large ones leave.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import text_key, written
 
 SHARDS = 8
-#: Groups in a part. A part is dealt by one task.
+#: Groups in a part, which one task bundles; up to so many in all, each is a bundle. Else bundles hold up to 4 / PART_GROUPS
+#: of all bytes, which makes fewer than PART_GROUPS of them, and some 100 small ones a part.
 PART_GROUPS = 100_000
 #: Rows numbered by one task.
 CHUNK_ROWS = 100_000
@@ -54,7 +56,22 @@ def differencing(vectors: list[list[int]], k: int = SHARDS) -> list[list[int]]:
     return bins[: len(vectors)]
 
 
-def _deal(k: int):
+def bundled(sizes: list[int], limit: int) -> list[int]:
+    """The bundle (0, 1, ...) of each of the falling sizes: no fuller than the limit and than an eighth of what is left,
+    or else of one size."""
+    left = sum(sizes)
+    out: list[int] = []
+    bundle, held, most = -1, 0, 0
+    for size in sizes:
+        if bundle < 0 or held + size > most:
+            bundle, held, most = bundle + 1, 0, min(limit, left // 8)
+        out.append(bundle)
+        held += size
+        left -= size
+    return out
+
+
+def _bundle(limit: int):
     def run(batches):
         rows = [
             (-size, bytes(key))
@@ -62,7 +79,7 @@ def _deal(k: int):
             for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
         ]
         rows.sort()
-        dealt = [b[0] for b in differencing([[-s] + [0] * (k - 1) for s, _ in rows], k)]
+        bundles = bundled([-s for s, _ in rows], limit)
         part = TaskContext.get().partitionId()
         for at in range(0, len(rows), 20_000):
             keys, sizes = [x[1] for x in rows[at : at + 20_000]], [-x[0] for x in rows[at : at + 20_000]]
@@ -71,14 +88,28 @@ def _deal(k: int):
                     pa.array(keys, pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.array([part] * len(keys), pa.int32()),
-                    pa.array(dealt[at : at + 20_000], pa.int32()),
+                    pa.array(bundles[at : at + 20_000], pa.int32()),
                 ],
-                ["group_key", "group_size", "part", "bin"],
+                ["group_key", "group_size", "part", "bundle"],
             )
 
     return run
 
 
+def _deal(k: int):
+    def run(batches):
+        rows = sorted(
+            (-size, part, bundle)
+            for batch in batches
+            for part, bundle, size in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        )
+        dealt = [b[0] for b in differencing([[-r[0]] + [0] * (k - 1) for r in rows], k)]
+        columns = [[r[1] for r in rows], [r[2] for r in rows], dealt]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], ["part", "bundle", "shard"])
+
+    return run
+
+
 def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Deal all documents into ``shards`` shards of nearly equal bytes; equal texts go to one shard.
 
@@ -100,27 +131,22 @@ def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
         "sized",
     )
     groups = sized.groupBy("group_key").agg(F.sum("size").alias("group_size"))
-    n = max(1, math.ceil(groups.count() / PART_GROUPS))
+    number, total = groups.agg(F.count("*"), F.sum("group_size")).first()
+    limit = 0 if number <= PART_GROUPS else 4 * total // PART_GROUPS
+    n = max(1, math.ceil(number / PART_GROUPS))
     dealt = written(
         groups.repartition(n, "group_key").mapInArrow(
-            _deal(shards), "group_key binary, group_size long, part int, bin int"
+            _bundle(limit), "group_key binary, group_size long, part int, bundle int"
         ),
         "dealt",
     )
-    found: dict[int, list[int]] = {}
-    for part, b, total in dealt.groupBy("part", "bin").agg(F.sum("group_size")).collect():  # shards rows for a part
-        found.setdefault(part, [0] * shards)[b] = total
-    parts = sorted(found)
-    bins = differencing([found[p] for p in parts], shards)
-    places = spark.createDataFrame(
-        [(p, b, to) for p, row in zip(parts, bins, strict=True) for b, to in enumerate(row)],
-        "part int, bin int, shard int",
-    )
+    bundles = dealt.groupBy("part", "bundle").agg(F.sum("group_size").alias("size"))
+    places = written(bundles.repartition(1).mapInArrow(_deal(shards), "part int, bundle int, shard int"), "places")
     rows = sized.count()
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / CHUNK_ROWS))
     placed = (
-        sized.join(dealt.drop("group_size").join(places, ["part", "bin"]), "group_key")
-        .drop("part", "bin", "group_key")
+        sized.join(dealt.drop("group_size").join(places, ["part", "bundle"]), "group_key")
+        .drop("part", "bundle", "group_key")
         .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)))
     )
     placed = written(placed, "placed")

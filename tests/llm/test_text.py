@@ -127,6 +127,25 @@ def test_shards(documents):
     assert shard.shard(documents([])).collect() == []
 
 
+def test_shards_of_many_parts_with_a_heavy_group(documents, monkeypatch):
+    monkeypatch.setattr(shard, "PART_GROUPS", 100)
+    r = random.Random(5)
+    for share in (0.1, 0.33):
+        rows = [(i, f"{i} " + "t" * r.randint(0, 300)) for i in range(1000)]
+        light = sum(len(t) + 1 for _, t in rows)
+        copies = round(light * share / (1 - share) / 100)
+        rows += [(1000 + i, "c" * 99) for i in range(copies)]
+        sizes, where = Counter(), {}
+        for x in shard.shard(documents(rows)).collect():
+            sizes[x["shard"]] += x["size"]
+            assert where.setdefault(x["text_crc32"], x["shard"]) == x["shard"]
+        heavy = where[zlib.crc32(b"c" * 99)]
+        if share > 1 / 8:
+            assert sizes.pop(heavy) == copies * 100  # a shard to itself
+        assert sum(sizes.values()) == light + copies * 100 * (share < 1 / 8)
+        assert max(sizes.values()) - min(sizes.values()) <= 0.001 * light
+
+
 def test_differencing():
     numbers = [8, 7, 6, 5, 4]
     bins = [b[0] for b in shard.differencing([[n, 0] for n in numbers], 2)]
