@@ -88,10 +88,21 @@ def pq_split(vectors: DataFrame, parts: int, dim: int) -> DataFrame:
     return rows.select("vec_id", F.col("m").cast("long").alias("m"), "sub")
 
 
-def pq_train(vectors: DataFrame, parts: int, dim: int, size: int = 256, iterations: int = 20, seed: int | None = None) -> np.ndarray:
-    """Codebooks (parts, size, dim / parts) by Lloyd rounds on a bounded sample, all parts in each pass."""
+def pq_train(
+    vectors: DataFrame,
+    parts: int,
+    dim: int,
+    size: int = 256,
+    iterations: int = 20,
+    seed: int | None = None,
+    sample_rows: int | None = kmeans.SAMPLE_ROWS,
+) -> np.ndarray:
+    """Codebooks (parts, size, dim / parts) by Lloyd rounds, all parts in each pass, on a sample of at most sample_rows
+    rows; on all rows, read again for each pass, if that is None."""
     width = dim // parts
-    rows = kmeans.sample(vectors.where("embedding is not null").select("vec_id", "embedding")).cache()
+    rows = vectors.where("embedding is not null").select("vec_id", "embedding")
+    if sample_rows is not None:
+        rows = kmeans.sample(rows, sample_rows).cache()
     try:
         books = kmeans.start(rows, size, seed).reshape(-1, parts, width).transpose(1, 0, 2).copy()
         k = books.shape[1]
@@ -119,7 +130,8 @@ def pq_train(vectors: DataFrame, parts: int, dim: int, size: int = 256, iteratio
                 books[m, c] = np.asarray(total) / n
         return books
     finally:
-        rows.unpersist()
+        if sample_rows is not None:
+            rows.unpersist()
 
 
 def pq_encode(vectors: DataFrame, books: np.ndarray) -> DataFrame:

@@ -456,7 +456,7 @@ CODES = f"{SPLIT}, pc AS (SELECT vec_id, m, arg_min(code, (d, code)) AS code FRO
 
 
 def books(spark, d, rounds: int = 0) -> np.ndarray:
-    return baselines.pq_train(vectors(spark, d), PARTS, DIM, ENTRIES, rounds)
+    return baselines.pq_train(vectors(spark, d), PARTS, DIM, ENTRIES, rounds, sample_rows=None)
 
 
 @query("pq_split", exploded_sql(f"{SPLIT}, x AS (SELECT vec_id * {PARTS} + m AS sub_id, sub FROM t)", "x", "sub", "sub_id"))

@@ -1,8 +1,12 @@
 """Every query of the vector engine against its SQL."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from lodestar.operators.kmeans import SAMPLE_ROWS
 from lodestar.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +33,19 @@ def test_matches_sql(spark, duck, name):
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (mine, theirs))
     assert len(a) == len(b) > 0
     assert a.equals(b), a.compare(b).head()
+
+
+def test_product_codes_of_more_rows_than_a_sample(spark, tmp_path):
+    n = SAMPLE_ROWS + 4000
+    x = np.random.default_rng(6).standard_normal((n, 64)).astype(np.float32)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "label": pa.array(np.arange(n) % 5, pa.int32()), "embedding": lists})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    for name in ("pq_train", "pq_encode"):
+        mine = queries.queries()[name](spark, str(tmp_path)).toPandas()
+        theirs = c.execute(queries.oracle_sql()[name]).df()
+        columns = sorted(theirs.columns)
+        a, b = (t[columns].sort_values(columns).to_numpy() for t in (mine, theirs))
+        assert len(a) == len(b) > 0 and np.abs(a - b).max() < 2e-6, name
