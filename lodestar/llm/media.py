@@ -3,11 +3,12 @@
 Each image gives corners at several scales; around each, the direction of the intensity's centroid turns a fixed set of
 brightness comparisons into a 256-bit descriptor that keeps still under rotation. Descriptors meet in hash tables, each on
 some of their bits (two that differ in few bits agree in some table); pairs that are near in Hamming distance vote,
-and images match if enough of their pairs agree on one similarity transform.
+and images match if enough of their pairs, and more than by chance, agree on one similarity transform.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -18,12 +19,16 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import binaries, written
 
 BITS, TABLES, KEY_BITS = 256, 18, 24
-#: Corners described in an image, the strongest of all scales.
-CORNERS = 28
+#: The least strength of a corner. All of them are described, so there are more the larger an image is.
+STRENGTH = 1e-3
 SCALES = (1.0, 1.26, 1.59, 2.0)
 PATCH = 9
 #: Two descriptors match up to this Hamming distance; two images from this many agreeing matches.
 DISTANCE, AGREE = 60, 4
+#: More matches agree by chance the more there are: an unrelated pair may be linked with this probability at most.
+CHANCE = 0.01
+#: Corners described at once; descriptors given on at once; transforms tried at once.
+_CORNERS, _ROWS, _TRIALS = 2000, 50_000, 128
 
 _RNG = np.random.default_rng(20)
 _PAIRS = np.clip(np.round(_RNG.normal(0, PATCH / 2.5, (BITS, 4))), -PATCH, PATCH)
@@ -104,46 +109,61 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inner[:, :edge] = inner[:, -edge:] = 0
         around = np.pad(inner, 1)
         peak = np.max([around[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
-        y, x = np.nonzero((inner == peak) & (inner > 1e-3))
-        found += [(float(inner[i, j]), scale, int(i), int(j), level) for i, j in zip(y, x, strict=True)]
-    found.sort(key=lambda f: (-f[0], f[1:4]))
-    places, bits = [], []
+        y, x = np.nonzero((inner == peak) & (inner > STRENGTH))
+        for at in range(0, len(y), _CORNERS):
+            i, j = y[at : at + _CORNERS], x[at : at + _CORNERS]
+            found.append((inner[i, j], *_at_corners(level, i, j, scale)))
+    if not found:
+        return np.zeros((0, 4)), np.zeros((0, BITS), bool)
+    strength, places, bits = (np.concatenate(f) for f in zip(*found, strict=True))
+    order = np.lexsort((places[:, 0], places[:, 1], places[:, 2], -strength))
+    return places[order], bits[order]
+
+
+def _at_corners(level: np.ndarray, i: np.ndarray, j: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    h, w = level.shape
     span = np.arange(-PATCH // 2, PATCH // 2 + 1)
-    for _, scale, i, j, level in found[:CORNERS]:
-        h, w = level.shape
-        part = level[np.clip(i + span, 0, h - 1)][:, np.clip(j + span, 0, w - 1)]
-        angle = float(np.arctan2((part * span[:, None]).sum(), (part * span[None]).sum()))
-        co, si = np.cos(angle), np.sin(angle)
-        x = _PAIRS[:, (0, 2)] * co - _PAIRS[:, (1, 3)] * si
-        y = _PAIRS[:, (0, 2)] * si + _PAIRS[:, (1, 3)] * co
-        v = level[np.clip(np.round(i + y), 0, h - 1).astype(int), np.clip(np.round(j + x), 0, w - 1).astype(int)]
-        places.append(((j + 0.5) * scale, (i + 0.5) * scale, scale, angle))
-        bits.append(v[:, 0] < v[:, 1])
-    return np.array(places).reshape(-1, 4), np.array(bits, bool).reshape(-1, BITS)
+    rows, columns = np.clip(i[:, None] + span, 0, h - 1), np.clip(j[:, None] + span, 0, w - 1)
+    part = level[rows[:, :, None], columns[:, None, :]]
+    angle = np.arctan2((part * span[:, None]).sum((1, 2)), (part * span).sum((1, 2)))
+    co, si = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+    x = _PAIRS[:, (0, 2)] * co - _PAIRS[:, (1, 3)] * si
+    y = _PAIRS[:, (0, 2)] * si + _PAIRS[:, (1, 3)] * co
+    y = np.clip(np.round(i[:, None, None] + y), 0, h - 1).astype(int)
+    v = level[y, np.clip(np.round(j[:, None, None] + x), 0, w - 1).astype(int)]
+    places = np.stack([(j + 0.5) * scale, (i + 0.5) * scale, np.full(len(i), scale), angle], 1)
+    return places, v[:, :, 0] < v[:, :, 1]
+
+
+def _described(ids: list, media_keys: list, places: list, bits: list) -> pa.RecordBatch:
+    n = np.array([len(p) for p in places], int)
+    p = np.concatenate(places) if places else np.zeros((0, 4))
+    b = np.concatenate(bits) if bits else np.zeros((0, BITS), bool)
+    words = np.packbits(b, axis=1).view(np.int64).reshape(len(b), 4)
+    slots = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+    columns = [pa.array(np.repeat(np.array(c, np.int64), n)) for c in (ids, media_keys)] + [pa.array(slots.astype(np.int32))]
+    columns += [pa.array(p[:, i].astype(np.float32)) for i in range(4)]
+    columns += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)]
+    names = ["image_id", "media_key", "slot", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def _describe(batches):
+    held: list[tuple] = []
+    rows = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            ids, media_keys, slots, places, bits = [], [], [], [], []
             for image_id, key, data in zip(*(part.column(i).to_pylist() for i in (0, 1)), binaries(part.column(2)), strict=True):
                 image = decode(data)
                 if image is not None and min(image.shape) >= 2 * PATCH:
-                    p, b = describe(image)
-                    ids += [image_id] * len(p)
-                    media_keys += [key] * len(p)
-                    slots += range(len(p))
-                    places.append(p)
-                    bits.append(b)
-            p = np.concatenate(places) if places else np.zeros((0, 4))
-            b = np.concatenate(bits) if bits else np.zeros((0, BITS), bool)
-            words = np.packbits(b, axis=1).view(np.int64).reshape(len(b), 4)
-            columns = [pa.array(ids, pa.int64()), pa.array(media_keys, pa.int64()), pa.array(slots, pa.int32())]
-            columns += [pa.array(p[:, i].astype(np.float32)) for i in range(4)]
-            columns += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)]
-            names = ["image_id", "media_key", "slot", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    held.append((image_id, key, *describe(image)))
+                    rows += len(held[-1][2])
+                    if rows >= _ROWS:
+                        yield _described(*map(list, zip(*held, strict=True)))
+                        held, rows = [], 0
+    if held:
+        yield _described(*map(list, zip(*held, strict=True)))
 
 
 def descriptors(images: DataFrame) -> DataFrame:
@@ -170,37 +190,74 @@ def entries(described: DataFrame) -> DataFrame:
     )
 
 
+def _distinct(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the places that has equal ones together, and where each of them starts."""
+    which = np.unique(np.round(places), axis=0, return_inverse=True)[1].ravel()
+    order = np.argsort(which, kind="stable")
+    return order, np.flatnonzero(np.diff(which[order], prepend=-1))
+
+
 def agreeing(matches: np.ndarray) -> int:
     """How many of the matches (x, y, scale, angle of one side, then of the other) agree on one similarity transform: the
-    most that any single match's own transform brings near to their places."""
+    most that any single match's own transform brings near to their places, those at the same place counted once."""
     a, b = matches[:, :4], matches[:, 4:]
     factor, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
-    dx, dy = (a[None, :, k] - a[:, None, k] for k in (0, 1))
-    co, si = np.cos(turn)[:, None], np.sin(turn)[:, None]
-    along, across = co * dx - si * dy, si * dx + co * dy
-    reach = 3.0 * np.maximum(1.0, b[None, :, 2])
-    near = []
-    for f in (factor, factor * 0.89, factor * 1.12):
-        x = b[:, None, 0] + f[:, None] * along - b[None, :, 0]
-        y = b[:, None, 1] + f[:, None] * across - b[None, :, 1]
-        near.append(np.hypot(x, y) <= reach)
-    near = np.unique(np.concatenate(near), axis=0)
+    reach = _reach(b)
+    sides = [_distinct(side[:, :2]) for side in (a, b)]
     best = 0
-    for k in np.argsort(-near.sum(1), kind="stable"):
-        if near[k].sum() <= best:  # no more than that can count
-            break
-        places = (len(np.unique(np.round(side[near[k], :2]), axis=0)) for side in (a, b))
-        best = max(best, min(places))
+    for at in range(0, len(a), _TRIALS):
+        own = slice(at, at + _TRIALS)
+        dx, dy = (a[None, :, k] - a[own, None, k] for k in (0, 1))
+        co, si = np.cos(turn[own])[:, None], np.sin(turn[own])[:, None]
+        along, across = co * dx - si * dy, si * dx + co * dy
+        for f in (factor[own], factor[own] * 0.89, factor[own] * 1.12):
+            x = b[own, None, 0] + f[:, None] * along - b[None, :, 0]
+            y = b[own, None, 1] + f[:, None] * across - b[None, :, 1]
+            near = x * x + y * y <= reach * reach
+            near = near[near.sum(1) > best]  # no more than that can count
+            if len(near):
+                places = (np.logical_or.reduceat(near[:, order], starts, axis=1).sum(1) for order, starts in sides)
+                best = max(best, int(np.minimum(*places).max()))
     return best
 
 
+def _reach(b: np.ndarray) -> np.ndarray:
+    return 3.0 * np.maximum(1.0, b[:, 2])
+
+
+def by_chance(matches: np.ndarray) -> int:
+    """How many of the matches may agree by chance. A transform that means nothing spreads the matches as their places
+    are spread at most, so it brings one near to its place as often as places lie within its reach of each other; the number
+    of places so met is about Poisson, whose tail (Chernoff's bound) must be under CHANCE for all the transforms tried."""
+    b = matches[:, 4:]
+    order, starts = _distinct(b[:, :2])
+    places, reach = b[order[starts], :2], _reach(b)[order[starts]]
+    weight = np.diff(starts, append=len(b))
+    mean = 0.0
+    for at in range(0, len(places), _TRIALS):
+        own = slice(at, at + _TRIALS)
+        apart = ((places[own, None] - places[None]) ** 2).sum(2)
+        share = (apart <= reach[own, None] ** 2) @ weight / len(b)
+        mean += float(np.minimum(1.0, weight[own] * share).sum())
+    wanted = math.log(3 * len(b) / CHANCE)
+    n = math.ceil(mean)
+    while n * math.log(n / mean) - n + mean < wanted:
+        n += 1
+    return n  # and the match that gave the transform agrees with itself
+
+
 def _consent(least: int):
     def run(batches):
         for batch in batches:
             out = []
-            for query, image, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = agreeing(np.array([[m[k] for k in "abcdefgh"] for m in flat], np.float64))
-                if n >= least:
+            flat = batch.column(2)
+            fields = np.stack([c.to_numpy() for c in flat.flatten().flatten()], 1).astype(np.float64)
+            at = 0
+            for query, image, size in zip(*(batch.column(i).to_pylist() for i in (0, 1)), flat.value_lengths().to_pylist(), strict=True):
+                matches = fields[at : at + size]
+                at += size
+                n = agreeing(matches)
+                if n >= least and n > by_chance(matches):
                     out.append((query, image, n))
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "image_id", "agreeing"])

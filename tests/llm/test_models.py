@@ -124,3 +124,20 @@ def test_media(spark):
     image = media.draw(np.arange(64.0))
     assert (media.decode(media.encode_pgm(image)) == np.round(image)).all()
     assert media.decode(b"P5 # c\n2 1 255\n\x01\x02").tolist() == [[1, 2]]
+
+
+def test_media_half_crops_of_large_uneven_images(spark):
+    size, images, crops = 192, [], []
+    y, x = np.mgrid[:size, :size] / size
+    for i in range(8):
+        rng = np.random.default_rng(i)
+        texture = sum(media.resized(rng.standard_normal((size // s, size // s)), size, size) for s in (4, 8, 16))
+        strong = np.exp(-((x - rng.uniform(0.1, 0.9)) ** 2 + (y - rng.uniform(0.1, 0.9)) ** 2) / 0.02)
+        image = np.clip(128 + texture / texture.std() * (6 + 50 * strong), 0, 255)
+        top, left = rng.integers(0, size // 2, 2)
+        crop = image[top : top + size // 2, left : left + size // 2]
+        images.append((i, bytearray(media.encode_pgm(image))))
+        crops.append((i, bytearray(media.encode_pgm(crop + rng.normal(0, 2, crop.shape)))))
+    schema = "image_id long, media binary"
+    found = media.find_copies(spark.createDataFrame(crops, schema), spark.createDataFrame(images, schema)).collect()
+    assert {(r["query_id"], r["image_id"]) for r in found} == {(i, i) for i in range(8)}
