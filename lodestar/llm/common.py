@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset, a temporary folder will do
+    if all runs in one process, as in tests; on a cluster that is an error, as one machine's folder would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
@@ -59,6 +66,60 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's list begins and ends among all its values (one more number than rows), and those values. Null
+    lists are empty."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(n)]), column.flatten()
+
+
+#: What a task works on at once: so many rows, and so many bytes of text unless one row has more.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded size; ``text``: the number of the column that has the bytes."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    done = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(done, done[at] + SLICE_BYTES, "right")) - 1
+        end = min(max(end, at + 1), at + SLICE_ROWS)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def in_slices(run: Callable, text: int) -> Callable:
+    """For ``mapInArrow``: ``run`` gets batches cut into slices. When a task ends, its worker, which others reuse, gives the
+    memory back that it has freed."""
+
+    def cut(batches):
+        for batch in batches:
+            yield from slices(batch, text)
+
+    def sliced(batches):
+        try:
+            yield from run(cut(batches))
+        finally:
+            give_back()
+
+    return sliced
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def row_keys(doc: Column, text: Column) -> list[Column]:
+    """k1, k2: 128 bits that tell rows of different doc or text apart."""
+    return [F.xxhash64(doc, text).alias("k1"), F.xxhash64(F.lit("second key"), text, doc).alias("k2")]
+
+
 def binaries(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null gives no bytes."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

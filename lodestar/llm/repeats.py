@@ -7,7 +7,7 @@ its context, all units that a window around it may reach: equal contexts need no
 throughout. Of the rest, one place for each context is cut out of its text, and ``settle`` of an operator finds the
 repeats among the contexts of an anchor.
 
-Rows that travel: an anchor's hash, its context's hash, document, position. They are dealt by the anchor's hash and
+Rows that travel: an anchor's hash, its context's hash, document, key of the row (128 bits), position. They are dealt by the anchor's hash and
 sorted, and each task passes over them as a stream, whatever their number. Texts move twice, once to cut out contexts
 and once for the result.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Powers, binaries, written
+from lodestar.llm.common import Powers, binaries, in_slices, lists, row_keys, written
 
 #: A document without an id is larger than all others.
 NO_ID = (1 << 63) - 1
@@ -31,10 +31,15 @@ NO_ID = (1 << 63) - 1
 #: Different contexts of one anchor that are compared in one task as they are; beyond, they are dealt further.
 HOT_CONTEXTS = 5_000
 RANGES = 8
+#: Contexts given on at once.
+_CONTEXTS_AT_ONCE = 10_000
 
-_ANCHORS = "h long, c long, doc long, tk int, pos int, step int, times int"
-_CONTEXTS = "h long, c long, doc long, tk int, pos int, more int, lead int, context binary"
-_SPANS = "doc long, tk int, begin int, finish int"
+#: What tells the rows of documents apart.
+ROW = ("k1", "k2")
+_KEY = "k1 long, k2 long"
+_ANCHORS = f"h long, c long, doc long, {_KEY}, pos int, step int, times int"
+_CONTEXTS = f"h long, c long, doc long, {_KEY}, pos int, more int, lead int, context binary"
+_SPANS = f"{_KEY}, begin int, finish int"
 
 
 @dataclass(frozen=True)
@@ -107,20 +112,19 @@ def _find(kind: Kind):
     def run(batches):
         for batch in batches:
             parts = []
-            docs, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for doc, tk, text in zip(docs, keys, binaries(batch.column(2)), strict=True):
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            for *row, text in zip(*keys, binaries(batch.column(3)), strict=True):
                 pos, h, c = anchors(kind.units(text), kind)
                 if len(pos):
                     pos, h, c, step, times = _rows(pos, h, c, kind.window)
-                    n = len(pos)
-                    numbers = (x.astype(np.int32) for x in (np.full(n, tk), pos, step, times))
-                    parts.append((h, c, np.full(n, doc), *numbers))
+                    numbers = (x.astype(np.int32) for x in (pos, step, times))
+                    parts.append((h, c, *(np.full(len(pos), x) for x in row), *numbers))
             if parts:
                 columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                names = ["h", "c", "doc", "tk", "pos", "step", "times"]
+                names = ["h", "c", "doc", *ROW, "pos", "step", "times"]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
-    return run
+    return in_slices(run, 3)
 
 
 def _repeated(found: DataFrame, kind: Kind) -> DataFrame:
@@ -133,7 +137,7 @@ def _repeated(found: DataFrame, kind: Kind) -> DataFrame:
         F.max("c").over(by_h).alias("high"),
         F.sum("times").over(by_c).alias("n"),
         F.min("doc").over(by_c).alias("first"),
-        F.row_number().over(by_c.orderBy("doc", "tk", "pos")).alias("nth"),
+        F.row_number().over(by_c.orderBy("doc", *ROW, "pos")).alias("nth"),
     ).where("low < high or n > 1")
     if kind.smaller_only:
         full, cut = F.col("doc") > F.col("first"), F.col("doc") == F.col("first")
@@ -141,7 +145,7 @@ def _repeated(found: DataFrame, kind: Kind) -> DataFrame:
         full, cut = F.col("n") > 1, F.col("nth") == 1
     more = (F.col("step") * (F.col("times") - 1)).alias("more")
     cut = (cut & (F.col("low") < F.col("high"))).alias("cut")
-    rows = rows.select("h", "c", "doc", "tk", "pos", more, full.alias("full"), cut)
+    rows = rows.select("h", "c", "doc", *ROW, "pos", more, full.alias("full"), cut)
     return rows.where("full or cut").withColumn("n_cut", F.sum(F.col("cut").cast("long")).over(by_h))
 
 
@@ -166,28 +170,36 @@ def _cut(kind: Kind, hot: int):
     def run(batches):
         for batch in batches:
             rows = []
-            docs, keys, wanted = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            for doc, tk, text, places in zip(docs, keys, binaries(batch.column(2)), wanted, strict=True):
+            keys = [batch.column(i).to_pylist() for i in range(3)]
+            ends, places = lists(batch.column(4))
+            wanted = [x.to_numpy(zero_copy_only=False) for x in places.flatten()]
+            for k, (*row, text) in enumerate(zip(*keys, binaries(batch.column(3)), strict=True)):
                 units = kind.units(text)
-                for p in places:
-                    for key, start, end in pieces(units, p["pos"], p["h"], p["n_cut"]):
-                        lead, context = p["pos"] - start, kind.cut(units, start, end)
-                        rows.append((key, p["c"], doc, tk, p["pos"], p["more"], lead, context))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary()]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            arrays = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["h", "c", "doc", "tk", "pos", "more", "lead", "context"])
+                for h, c, pos, more, n_cut in zip(*(x[ends[k] : ends[k + 1]].tolist() for x in wanted), strict=True):
+                    for key, start, end in pieces(units, pos, h, n_cut):
+                        rows.append((key, c, *row, pos, more, pos - start, kind.cut(units, start, end)))
+                if len(rows) >= _CONTEXTS_AT_ONCE:
+                    yield _context_batch(rows)
+                    rows = []
+            yield _context_batch(rows)
 
-    return run
+    return in_slices(run, 3)
+
+
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [*[pa.int64()] * 5, *[pa.int32()] * 3, pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    arrays = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, ["h", "c", "doc", *ROW, "pos", "more", "lead", "context"])
 
 
 def _settle(kind: Kind):
     def spans(group: list[tuple]) -> Iterator[tuple]:
         if len(group) > 1:
             found = kind.settle([(c, doc, lead, context) for _, c, doc, *_, lead, context in group])
-            for (_, _, doc, tk, pos, more, lead, _), flagged in zip(group, found, strict=True):
+            for (_, _, _, k1, k2, pos, more, lead, _), flagged in zip(group, found, strict=True):
                 for begin, finish in flagged:
-                    yield doc, tk, pos - lead + begin, pos - lead + finish + more
+                    yield k1, k2, pos - lead + begin, pos - lead + finish + more
 
     def run(batches):
         group: list[tuple] = []
@@ -201,55 +213,62 @@ def _settle(kind: Kind):
             yield _span_batch(out)
         yield _span_batch(list(spans(group)))
 
-    return run
+    return in_slices(run, 8)
 
 
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     columns = list(zip(*rows, strict=True)) or [[]] * 4
     arrays = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["doc", "tk", "begin", "finish"])
+    return pa.RecordBatch.from_arrays(arrays, [*ROW, "begin", "finish"])
 
 
 def keyed(documents: DataFrame, *more: str) -> DataFrame:
-    """doc (NO_ID for null), tk (a hash of the text), text, and further columns. Rows alike in doc and text are alike."""
+    """doc (NO_ID for null), k1 and k2 (of doc and text), text, and further columns. Rows alike in doc and text are alike."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return documents.select(doc.alias("doc"), F.hash(text).alias("tk"), text.alias("text"), *more)
+    return documents.select(doc.alias("doc"), *row_keys(doc, text), text.alias("text"), *more)
 
 
 def repeats(documents: DataFrame, kind: Kind, hot: int = HOT_CONTEXTS) -> DataFrame:
-    """doc, tk, spans: for each document with repeats, the flagged spans of its units (they may overlap, and the last
+    """k1, k2, spans: for each document with repeats, the flagged spans of its units (they may overlap, and the last
     may reach beyond the end). An anchor with more than ``hot`` different contexts is dealt to several tasks."""
     docs = keyed(documents)
     found = docs.mapInArrow(_find(kind), _ANCHORS)
     places = written(_repeated(found, kind), "places")
     wanted = (
         places.where("cut")
-        .groupBy("doc", "tk")
+        .groupBy(*ROW)
         .agg(F.collect_set(F.struct("h", "c", "pos", "more", "n_cut")).alias("places"))
     )
-    contexts = docs.join(wanted, ["doc", "tk"]).select("doc", "tk", "text", "places").mapInArrow(_cut(kind, hot), _CONTEXTS)
-    settled = contexts.repartition("h").sortWithinPartitions("h", "doc", "tk", "pos").mapInArrow(_settle(kind), _SPANS)
+    texts = docs.join(wanted, [*ROW]).select("doc", *ROW, "text", "places")
+    contexts = texts.mapInArrow(_cut(kind, hot), _CONTEXTS)
+    settled = contexts.repartition("h").sortWithinPartitions("h", "doc", *ROW, "pos").mapInArrow(_settle(kind), _SPANS)
     throughout = places.where("full").select(
-        "doc",
-        "tk",
+        *ROW,
         F.greatest(F.col("pos") - F.lit(kind.window - 1), F.lit(0)).alias("begin"),
         (F.col("pos") + F.col("more") + F.lit(kind.length)).alias("finish"),
     )
     return (
         throughout.unionByName(settled)
-        .groupBy("doc", "tk")
+        .groupBy(*ROW)
         .agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
     )
 
 
-def kept(n: int, spans: list[dict] | None) -> np.ndarray:
+def spans_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The begins and the ends of each row's spans."""
+    ends, spans = lists(column)
+    begin, finish = (x.to_numpy(zero_copy_only=False) for x in spans.flatten())
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield begin[a:b], finish[a:b]
+
+
+def kept(n: int, begin: np.ndarray, finish: np.ndarray) -> np.ndarray:
     """Which of n units no span covers."""
     change = np.zeros(n + 1, np.int32)
-    for s in spans or ():
-        change[s["begin"]] += 1
-        change[min(s["finish"], n)] -= 1
+    np.add.at(change, begin, 1)
+    np.add.at(change, np.minimum(finish, n), -1)
     return np.cumsum(change[:n]) == 0
 
 

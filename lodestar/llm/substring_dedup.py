@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Powers, binaries, sha_hex
-from lodestar.llm.repeats import NO_ID, Kind, keyed, kept, repeats
+from lodestar.llm.common import Powers, binaries, in_slices, sha_hex
+from lodestar.llm.repeats import NO_ID, ROW, Kind, keyed, kept, repeats, spans_of
 
 WORDS = 50
 SEED = 25
@@ -73,8 +73,8 @@ KIND = Kind(WORDS, SEED, word_hashes, lambda units, a, b: units[a:b].tobytes(),
 
 def _marked(documents: DataFrame, run, schema: str) -> DataFrame:
     found = repeats(documents, KIND)
-    joined = keyed(documents, "doc_id").join(found, ["doc", "tk"], "left")
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, schema)
+    joined = keyed(documents, "doc_id").join(found, [*ROW], "left")
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(in_slices(run, 1), schema)
 
 
 def substring_dedup(documents: DataFrame, with_text: bool = False) -> DataFrame:
@@ -89,10 +89,10 @@ def substring_dedup(documents: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, removed, digest, texts = [], [], [], []
-            for text, spans in zip(binaries(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, (begin, finish) in zip(binaries(batch.column(1)), spans_of(batch.column(2)), strict=True):
                 words = text.split()
-                if spans:
-                    rest = b" ".join([words[i] for i in np.flatnonzero(kept(len(words), spans))])
+                if len(begin):
+                    rest = b" ".join([words[i] for i in np.flatnonzero(kept(len(words), begin, finish))])
                     removed.append(len(words) - len(rest.split()))
                 else:
                     rest = b" ".join(words)

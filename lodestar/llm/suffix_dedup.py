@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import binaries, fresh, sha_hex
+from lodestar.llm.common import binaries, fresh, in_slices, row_keys, sha_hex
 from lodestar.llm.gsaca import suffix_array
-from lodestar.llm.repeats import NO_ID, Kind, common_start, keyed, kept, repeats
+from lodestar.llm.repeats import NO_ID, ROW, Kind, common_start, keyed, kept, repeats, spans_of
 
 BYTES = 200
 SEED = 64
@@ -149,9 +149,9 @@ def suffix_dedup(documents: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, removed, runs, digest, texts = [], [], [], [], []
-            for text, spans in zip(binaries(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                keep = kept(len(text), spans)
-                rest = np.frombuffer(text, np.uint8)[keep].tobytes() if spans else text
+            for text, (begin, finish) in zip(binaries(batch.column(1)), spans_of(batch.column(2)), strict=True):
+                keep = kept(len(text), begin, finish)
+                rest = np.frombuffer(text, np.uint8)[keep].tobytes() if len(begin) else text
                 n.append(len(text))
                 removed.append(len(text) - len(rest))
                 runs.append(int((np.diff(np.concatenate([[1], keep.astype(np.int8)])) == -1).sum()))
@@ -164,32 +164,32 @@ def suffix_dedup(documents: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    joined = keyed(documents, "doc_id").join(repeats(documents, KIND), ["doc", "tk"], "left")
-    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, schema)
+    joined = keyed(documents, "doc_id").join(repeats(documents, KIND), [*ROW], "left")
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(in_slices(run, 1), schema)
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """The rows of documents with what remains of their texts, other columns as they came; ``n_chars``, if there is such a
     column, is counted anew. A row stays, with an empty text, if nothing remains. Null texts stay null."""
     others = [c for c in documents.columns if c != "text"]
-    doc, tk, spans_ = (fresh(documents, name) for name in ("repeat_doc", "repeat_tk", "repeat_spans"))
-    found = repeats(documents, KIND).toDF(doc, tk, spans_)
-    text, own = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    same = (own == F.col(doc)) & (F.hash(F.coalesce(text, F.lit(""))) == F.col(tk))
-    marked = documents.join(found, same, "left").select(text.alias("text"), *others, spans_)
+    k1, k2, spans_ = (fresh(documents, name) for name in ("repeat_k1", "repeat_k2", "repeat_spans"))
+    found = repeats(documents, KIND).toDF(k1, k2, spans_)
+    text, doc = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    own = row_keys(doc, F.coalesce(text, F.lit("")))
+    marked = documents.join(found, (own[0] == F.col(k1)) & (own[1] == F.col(k2)), "left").select(text.alias("text"), *others, spans_)
     at = len(others) + 1
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                if text is not None and spans:
-                    text = np.frombuffer(text, np.uint8)[kept(len(text), spans)].tobytes()
+            for text, (begin, finish) in zip(batch.column(0).cast(pa.binary()).to_pylist(), spans_of(batch.column(at)), strict=True):
+                if text is not None and len(begin):
+                    text = np.frombuffer(text, np.uint8)[kept(len(text), begin, finish)].tobytes()
                 texts.append(None if text is None else text.decode("utf-8", "ignore"))
             columns = [pa.array(texts, pa.string()), *batch.columns[1:at]]
             yield pa.RecordBatch.from_arrays(columns, ["text", *others])
 
-    out = marked.mapInArrow(run, documents.select(F.col("text").cast("string").alias("text"), *others).schema)
+    out = marked.mapInArrow(in_slices(run, 0), documents.select(F.col("text").cast("string").alias("text"), *others).schema)
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)

@@ -5,9 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lodestar.llm import repeats, substring_dedup, suffix_dedup
+from lodestar.llm import common, repeats, substring_dedup, suffix_dedup
 from lodestar.llm.gsaca import suffix_array
 
 
@@ -98,11 +100,32 @@ def test_hot_anchors_are_dealt_further(documents):
         covered = []
         for hot in (0, 10_000):
             found = repeats.repeats(df, kind, hot).collect()
-            spans = {(r["doc"], i) for r in found for s in r["spans"] for i in range(s["begin"], s["finish"])}
+            spans = {(r["k1"], r["k2"], i) for r in found for s in r["spans"] for i in range(s["begin"], s["finish"])}
             covered.append(spans)
         assert covered[0] == covered[1] != set()
 
 
+def test_rows_without_ids_whose_texts_collide_in_32_bits(spark, documents):
+    numbers = spark.range(200_000).selectExpr("id", "concat(id, repeat(concat(' ', id % 89), 99)) AS text")
+    pair = numbers.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").first()
+    one, two = pair["texts"][:2]
+    check(documents, [(None, one), (None, two), (None, "x " + one[:400]), (None, "other")])
+
+
+def test_hot_texts_and_long_ones(documents):
+    rows = passages(9, 6)
+    text = " ".join(str(i % 977) for i in range(30_000))
+    check(documents, rows + [(100 + i, rows[3][1] or "w") for i in range(40)] + [(200, text), (201, text[: len(text) // 2])])
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(["x"] * 2400 + [None] * 98 + ["y" * (5 << 20)] * 2)], ["a", "b"])
+    sizes = [x.num_rows for x in common.slices(batch, 1)]
+    assert sizes == [1000, 1000, 498, 1, 1] and list(common.slices(batch.slice(0, 0), 1)) == []
+    sliced = [x.column(0)[0].as_py() for x in common.slices(batch.slice(7), 1)]
+    assert sliced == [7, 1007, 2007, 2498, 2499]
+
+
 def test_remaining_text(spark, documents):
     a = " ".join(str(i) for i in range(100, 400))
     df = documents([(1, a + " one"), (2, "two " + a), (3, "three"), (4, None)]).selectExpr("*", "length(text) AS n_chars")
