@@ -7,11 +7,9 @@ from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestar.llm import gbt
-from lodestar.llm.common import fresh, written
-from lodestar.llm.scoring import features_of, fold, labelled, scored
+from lodestar.llm.scoring import chosen_labels, fold, labelled, passing, scored
 
 #: Labelled rows that the trees are fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -60,23 +58,29 @@ def statistics(text: bytes) -> list[float]:
 WIDTH = len(statistics(b""))
 
 
+def classifier(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> gbt.Forest:
+    """Trees fitted on at most ``train_rows`` labelled rows outside the held-out fold. Of gains that are equal, the first
+    feature's lowest cut counts."""
+    chosen = chosen_labels(labels, "quality", fold(FOLDS) != HELD_OUT, train_rows)
+    return gbt.fit(*labelled(documents, statistics, WIDTH, chosen, train_rows))
+
+
 def quality(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, least: float = LEAST) -> DataFrame:
     """Score the quality of every whole text as ``labels.quality`` (0 or 1) marks it.
 
     documents(doc_id, text), labels(doc_id, quality); further columns are ignored. A row for each row of documents:
     doc_id, held_out (crc32 of doc_id as text mod 5 is 0; those labels aren't learnt), score in 0 to 1, predicted
-    (1 if score >= ``least``). Null texts are scored as empty ones. Labels other than 0 and 1 are left out; of several
-    for one doc_id the largest counts. Without labels every score is 0.5, with one class only near that class.
-    The trees are fitted on at most ``train_rows`` labelled rows; all else covers all rows.
+    (1 if score >= ``least``). Null texts are scored as empty ones; equal texts score equally. Texts of any length are
+    scored whole, one after another. Labels other than 0 and 1 are left out; of several for one doc_id the largest counts,
+    and a label without a document, or a null doc_id, teaches nothing. Without labels every score is 0.5, with one class
+    only near that class. Empty documents give no rows. The trees are fitted on at most ``train_rows`` labelled rows; all
+    else covers all rows.
     """
-    features = written(features_of(documents, statistics, WIDTH), "statistics")
-    x, y = labelled(features, labels, "quality", fold(FOLDS) != HELD_OUT, train_rows)
-    return scored(features, gbt.fit(x, y).probability, FOLDS, HELD_OUT, least)
+    forest = classifier(documents, labels, train_rows)
+    return scored(documents, statistics, WIDTH, forest.probability, FOLDS, HELD_OUT, least)
 
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the classifier doesn't reject, columns as they came. Of rows with one doc_id all go, if
-    any is rejected."""
-    name = fresh(documents, "rejected_id")
-    bad = quality(documents, labels).where("predicted = 0").select(F.col("doc_id").alias(name)).distinct()
-    return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """The rows of documents that the classifier doesn't reject, columns as they came. Each row is judged by its own text,
+    whatever other rows have its doc_id."""
+    return passing(documents, statistics, WIDTH, classifier(documents, labels).probability, LEAST)

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import gbt
-from lodestar.llm.common import binaries, written
-from lodestar.llm.scoring import features_of, fold, labelled, scored
+from lodestar.llm.common import binaries, in_slices, written
+from lodestar.llm.scoring import chosen_labels, fold, labelled, scored
 
 #: Labelled rows for the lexicon, the trees and the calibration, at most.
 LEXICON_ROWS, TRAIN_ROWS, CALIBRATION_ROWS = 20_000, 20_000, 10_000
@@ -63,9 +63,9 @@ def lexicon(documents: DataFrame, labels: DataFrame, entries: int = LEXICON_ENTR
 
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = (
-        found.join(labels, "doc_id")
+        found.join(F.broadcast(labels), "doc_id")
         .select("text", "y")
-        .mapInArrow(run, "stem string, toxic long, rest long")
+        .mapInArrow(in_slices(run, 0), "stem string, toxic long, rest long")
         .groupBy("stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("rest").alias("rest"))
         .where("toxic >= 4")
@@ -135,20 +135,21 @@ def toxicity(documents: DataFrame, labels: DataFrame, least: float = LEAST) -> D
 
     documents(doc_id, text), labels(doc_id, toxic); further columns are ignored. A row for each row of documents:
     doc_id, held_out (crc32 of doc_id as text mod 3 is 1; those labels aren't learnt), score in 0 to 1, predicted (1
-    if score >= ``least``). Null texts are scored as empty ones. Labels other than 0 and 1 are left out; of several
-    for one doc_id the largest counts. Without labels every score is 0.5. The labelled rows are split in three by a
-    hash of doc_id (see the module) and bounded by LEXICON_ROWS, TRAIN_ROWS and CALIBRATION_ROWS; all else covers all.
+    if score >= ``least``). Null texts are scored as empty ones; equal texts score equally. Texts of any length are scored
+    whole, one after another. Labels other than 0 and 1 are left out; of several for one doc_id the largest counts, and a
+    null doc_id teaches nothing. Without labels every score is 0.5; empty documents give no rows. The labelled rows are
+    split in three by a hash of doc_id (see the module) and bounded by LEXICON_ROWS, TRAIN_ROWS and CALIBRATION_ROWS; all
+    else covers all. Of gains that are equal, the first feature's lowest cut counts.
     """
     part = F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(5))
     learnt = fold(FOLDS) != HELD_OUT
-    y = labels.where(F.col("toxic").isin(0, 1)).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")
-    )
-    y = y.groupBy("doc_id").agg(F.max("y").alias("y")).where(learnt & (part < 2))
-    y = written(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_ROWS), "lexicon-labels")
+    y = written(chosen_labels(labels, "toxic", learnt & (part < 2), LEXICON_ROWS), "lexicon-labels")
     extract = Extractor(lexicon(documents, y))
-    features = written(features_of(documents, extract, Extractor.WIDTH), "toxicity")
-    forest = gbt.fit(*labelled(features, labels, "toxic", learnt & part.isin(2, 3), TRAIN_ROWS), trees=40)
-    x, truth = labelled(features, labels, "toxic", learnt & (part == 4), CALIBRATION_ROWS)
+
+    def rows(where, n: int) -> tuple:
+        return labelled(documents, extract, Extractor.WIDTH, chosen_labels(labels, "toxic", learnt & where, n), n)
+
+    forest = gbt.fit(*rows(part.isin(2, 3), TRAIN_ROWS), trees=40)
+    x, truth = rows(part == 4, CALIBRATION_ROWS)
     step = gbt.isotonic(forest.probability(x) if len(truth) else np.zeros(0), truth)
-    return scored(features, lambda rows: step(forest.probability(rows)), FOLDS, HELD_OUT, least)
+    return scored(documents, extract, Extractor.WIDTH, lambda x: step(forest.probability(x)), FOLDS, HELD_OUT, least)
