@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import binaries, fresh, sha_hex
+from lodestar.llm.common import binaries, fresh, in_slices, lists, row_keys, sha_hex, written
 
 WINDOW = 10
 BLOCK = 3
-#: Bytes of benchmark text in one search machine. More text makes more machines, one after another.
-MACHINE_BYTES = 8 << 20
+#: Bytes of benchmark text in one search machine, which takes some 150 times as much memory in a task. More text makes more
+#: machines, each with its own pass over the documents.
+MACHINE_BYTES = 2 << 20
 
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -99,16 +100,79 @@ class Machines:
         return spans, items
 
 
-def _blocks(benchmark: DataFrame, machine_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of bounded size. Each block is fetched by itself, so the driver never holds more than one
-    block's text beyond what the jobs carry; the number of blocks comes from the measured size."""
+def _blocks(benchmark: DataFrame, machine_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about ``machine_bytes`` (an item isn't split), each fetched when it is asked for, so the driver
+    holds one block at a time. The number of blocks comes from the measured size."""
     items = benchmark.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("string").alias("item"), F.encode("text", "utf-8").alias("text")
     )
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 + size // machine_bytes
     part = F.pmod(F.xxhash64("item"), F.lit(n))
-    return [[(r[0], bytes(r[1])) for r in items.where(part == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r[0], bytes(r[1])) for r in items.where(part == k).collect()]
+
+
+_built: dict[tuple, Machines] = {}
+
+
+def _machines(block, window: int) -> Machines:
+    """Built once in each Python worker; only the last is kept."""
+    key = (block.id if hasattr(block, "id") else id(block), getattr(block, "_path", None), window)
+    if key not in _built:
+        _built.clear()
+        _built[key] = Machines(block.value, window)
+    return _built[key]
+
+
+def _figures(rows: list[tuple[int, np.ndarray, set[str]]]) -> list[pa.Array]:
+    """What is told of documents: number of words, which of them are hit, items."""
+    n = [r[0] for r in rows]
+    hit = [int(r[1].sum()) for r in rows]
+    digest = [sha_hex(",".join(sorted(r[2])).encode()) for r in rows]
+    numbers = [pa.array(x, pa.int64()) for x in (n, hit, [len(r[2]) for r in rows])]
+    return [*numbers, pa.array(digest, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())]
+
+
+_NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+
+def _hits(documents: DataFrame, block, window: int) -> DataFrame:
+    """k1, k2, begins, ends, items of the documents in which a block's windows occur."""
+
+    def run(batches):
+        machine = _machines(block, window)
+        for batch in batches:
+            k1, k2 = (batch.column(i).to_pylist() for i in (0, 1))
+            rows = []
+            for a, b, text in zip(k1, k2, binaries(batch.column(2)), strict=True):
+                spans, items = machine.search(words(text))
+                if spans:
+                    rows.append((a, b, [x[0] for x in spans], [x[1] for x in spans], sorted(items)))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "begins", "ends", "items"])
+
+    schema = "k1 long, k2 long, begins array<int>, ends array<int>, items array<string>"
+    return documents.select("k1", "k2", "text").mapInArrow(in_slices(run, 2), schema)
+
+
+def _keyed(documents: DataFrame, *more: str) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return documents.select(*row_keys(F.lit(0), text), text.alias("text"), *more)
+
+
+def _all_hits(documents: DataFrame, blocks: Iterator, window: int) -> DataFrame:
+    """The hits of all blocks, a pass over the documents for each, by text (equal texts are alike)."""
+    docs, found = _keyed(documents), None
+    for block in blocks:
+        sent = documents.sparkSession.sparkContext.broadcast(block)
+        part = written(_hits(docs, sent, window).dropDuplicates(["k1", "k2"]), "hits")
+        sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    flat = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends")}
+    return found.groupBy("k1", "k2").agg(flat["begins"], flat["ends"], F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def decontaminate(
@@ -118,54 +182,84 @@ def decontaminate(
 
     documents(doc_id, text), benchmark(item_id, text); further columns are ignored, whatever their names.
     One row for each row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-    Null or wordless texts have no words and are clean. Items whose id or text is null, or without words, have no
-    windows; rows with one item_id count as one item. An empty benchmark leaves every document clean.
-    The benchmark is sent to the tasks in machines of at most ``machine_bytes`` of text; each document goes through
-    all machines in its own task, so documents are read once and never shuffled.
+    Null or wordless texts have no words and are clean; texts of any length are searched whole, and equal ones have equal
+    figures. Items whose id or text is null, or without words, have no windows; rows with one item_id count as one
+    item. An empty benchmark leaves every document clean; empty documents give no rows.
+    A benchmark of up to ``machine_bytes`` is sent to the tasks as one machine, and documents are read once and not shuffled.
+    A larger one goes in blocks, a machine and a pass over the documents for each; what they hit is put together by
+    text. Neither the driver nor a task holds more than one block.
     """
-    spark = documents.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, machine_bytes)]
+    blocks = _blocks(benchmark, machine_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        return _in_passes(documents, _all_hits(documents, _chain(first, second, blocks), window))
+    block = documents.sparkSession.sparkContext.broadcast(first)
 
     def run(batches):
-        machines = [_machines(b, window) for b in blocks]
+        machine = _machines(block, window)
         for batch in batches:
             rows = []
             for text in binaries(batch.column(1)):
                 w = words(text)
-                hit, items = np.zeros(len(w), bool), set()
-                for machine in machines:
-                    spans, found = machine.search(w)
-                    for start, end in spans:
-                        hit[start:end] = True
-                    items |= found
-                n_hit = int(hit.sum())
-                rows.append((len(w), n_hit, len(items), sha_hex(",".join(sorted(items)).encode()), n_hit > 0))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], names)
+                hit = np.zeros(len(w), bool)
+                spans, items = machine.search(w)
+                for start, end in spans:
+                    hit[start:end] = True
+                rows.append((len(w), hit, items))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_figures(rows)], _NAMES)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(in_slices(run, 1), _SCHEMA)
 
 
-_built: dict[tuple, Machines] = {}
+def _chain(first, second, rest) -> Iterator:
+    yield first
+    del first
+    yield second
+    del second
+    yield from rest
 
 
-def _machines(block, window: int) -> Machines:
-    """Built once in each Python worker; the last few are kept."""
-    key = (block.id if hasattr(block, "id") else id(block), getattr(block, "_path", None), window)
-    if key not in _built:
-        while len(_built) > 8:
-            _built.pop(next(iter(_built)))
-        _built[key] = Machines(block.value, window)
-    return _built[key]
+def _in_passes(documents: DataFrame, found: DataFrame) -> DataFrame:
+    joined = _keyed(documents, F.col("doc_id").cast("long").alias("doc_id")).join(found, ["k1", "k2"], "left")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            spans = [lists(batch.column(i)) for i in (2, 3, 4)]
+            begins, ends, items = (x[1].to_numpy(zero_copy_only=False) for x in spans)
+            at = spans[0][0]
+            of_item = spans[2][0]
+            for k, text in enumerate(binaries(batch.column(1))):
+                w = words(text)
+                change = np.zeros(len(w) + 1, np.int32)
+                np.add.at(change, begins[at[k] : at[k + 1]], 1)
+                np.add.at(change, ends[at[k] : at[k + 1]], -1)
+                hit = np.cumsum(change[:-1]) > 0
+                rows.append((len(w), hit, set(items[of_item[k] : of_item[k + 1]])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_figures(rows)], _NAMES)
+
+    return joined.select("doc_id", "text", "begins", "ends", "items").mapInArrow(in_slices(run, 1), _SCHEMA)
 
 
-def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents without any benchmark window, columns as they came.
+def clean_documents(
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, machine_bytes: int = MACHINE_BYTES
+) -> DataFrame:
+    """The rows of documents without any benchmark window, columns as they came. Each row is judged by its own text. One
+    pass without a shuffle, if the benchmark fits one machine."""
+    blocks = _blocks(benchmark, machine_bytes)
+    first, second = next(blocks), next(blocks, None)
+    text = F.col("text").cast("string")
+    if second is not None:
+        k1, k2 = (fresh(documents, name) for name in ("hit_k1", "hit_k2"))
+        hit = _all_hits(documents, _chain(first, second, blocks), window).select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+        own = row_keys(F.lit(0), F.coalesce(text, F.lit("")))
+        return documents.join(hit, (own[0] == F.col(k1)) & (own[1] == F.col(k2)), "left_anti")
+    block, at = documents.sparkSession.sparkContext.broadcast(first), len(documents.columns)
+
+    def run(batches):
+        machine = _machines(block, window)
+        for batch in batches:
+            clean = [not machine.search(words(t))[0] for t in binaries(batch.column(at))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:at], batch.schema.names[:at]).filter(pa.array(clean, pa.bool_()))
 
-    Rows are kept by doc_id; a document of which any row is contaminated goes."""
-    name = fresh(documents, "hit_id")
-    hit = decontaminate(documents, benchmark).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return documents.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    return documents.select("*", text.alias(fresh(documents, "searched_text"))).mapInArrow(in_slices(run, at), documents.schema)

@@ -48,15 +48,24 @@ def test_decontaminate(spark, documents):
     tests += [(3, "more of it " * 5), (40, None), (41, "..."), (None, "lone words here")]
     rows = [(i, ", ".join(word() for _ in range(r.randint(0, 60)))) for i in range(60)]
     rows += [(None, "the of"), (70, None), (71, ""), (72, "!!"), (73, tests[4][1].upper() + " tail " * 3000), (73, "x")]
-    for size in (8 << 20, 40):  # one machine; several
+    for size in (8 << 20, 40):  # one machine; some twenty
         out = decontaminate.decontaminate(documents(rows), items(spark, tests), machine_bytes=size)
         assert Counter(map(tuple, out.collect())) == brute(rows, tests)
     none = decontaminate.decontaminate(documents(rows), items(spark, tests).limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
     assert decontaminate.decontaminate(documents([]), items(spark, tests)).collect() == []
-    kept = decontaminate.clean_documents(documents(rows), items(spark, [(1, "tail tail tail")]))
-    assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(str(i) for i, _ in rows if i != 73)  # all rows of that doc_id
-    assert kept.columns == documents(rows).columns
+    for size in (8 << 20, 10):
+        tests = items(spark, [(1, "tail tail tail"), (2, "the words of nobody"), (3, "nothing else")])
+        kept = decontaminate.clean_documents(documents(rows), tests, machine_bytes=size)
+        assert Counter(x["doc_id"] for x in kept.collect()) == Counter(i for i, t in rows if "tail" not in (t or ""))
+        assert kept.columns == documents(rows).columns
+
+
+def test_benchmark_blocks(spark):
+    tests = items(spark, [(i, f"item {i} " * 20) for i in range(100)])
+    blocks = list(decontaminate._blocks(tests, 1000))
+    assert len(blocks) > 10 and sorted(i for b in blocks for i, _ in b) == sorted(str(i) for i in range(100))
+    assert max(sum(len(t) for _, t in b) for b in blocks) < 4000
 
 
 def test_wu_manber_shifts():
