@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import binaries
+from lodestar.llm.common import binaries, in_slices
 
 #: States kept by a transducer, and pieces whose output is kept. Beyond, it starts afresh.
 MAX_STATES, MAX_PIECES = 1 << 18, 1 << 20
@@ -231,14 +231,15 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(read_ranks(ranks_path), pattern)
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode(documents: DataFrame, ranks_path: str, pattern: str, ids_name: str = "ids", decoded_name: str = "decoded") -> DataFrame:
     """Token ids of every whole text: the columns of documents and ``ids`` (array of int), ``decoded`` (string).
 
-    documents(doc_id, text, ...). A null text counts as empty: no ids, and an empty string. ``decoded`` is what
-    streaming decoding of the ids gives. ``ids`` or ``decoded`` among the given columns are replaced.
-    ``ranks_path`` must be readable on every executor, as an installed file is.
+    documents(doc_id, text, ...). A null text counts as empty: no ids, and an empty string; texts of any length are
+    encoded whole, and an empty table gives no rows. ``decoded`` is what streaming decoding of the ids gives. Columns of
+    these names (in any case) among the given ones are replaced. ``ranks_path`` must be readable on every executor, as an
+    installed file is.
     """
-    kept = [c for c in documents.columns if c not in ("ids", "decoded")]
+    kept = [c for c in documents.columns if c.lower() not in (ids_name.lower(), decoded_name.lower())]
     source = documents.select(*kept)
     at = kept.index("text")
 
@@ -248,14 +249,17 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             ids = [np.frombuffer(c.encode(t.decode("utf-8", "replace")), "<u4") for t in binaries(batch.column(at))]
             texts = ["".join(c.decode_stream(x.tolist())) for x in ids]
             arrays = [pa.array([x.astype("<i4") for x in ids], pa.list_(pa.int32())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*kept, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*kept, ids_name, decoded_name])
 
-    schema = source.withColumns({"ids": F.lit(None).cast("array<int>"), "decoded": F.lit(None).cast("string")}).schema
-    return source.mapInArrow(run, schema)
+    schema = source.withColumns({ids_name: F.lit(None).cast("array<int>"), decoded_name: F.lit(None).cast("string")}).schema
+    return source.mapInArrow(in_slices(run, at), schema)
 
 
 def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of documents (null text: empty)."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of documents, in one pass.
+
+    documents(doc_id, text); further columns are ignored. Null texts are empty: no tokens. Texts of any length are encoded
+    whole; rows alike in text have equal figures; an empty table gives no rows."""
 
     def run(batches):
         c = codec(ranks_path, pattern)
@@ -273,4 +277,4 @@ def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(b, pa.string())], names)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(in_slices(run, 1), _SCHEMA)
