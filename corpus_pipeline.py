@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, decontaminate, minhash, quality, suffix_dedup
-from lodestar.llm.common import table, written
+from lodestar.llm.common import fresh, table, written
 from lodestar.llm.entries import RANKS
 
 
@@ -31,18 +31,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go, each row by its own text."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, and the text that they decode to; a round trip that fails is an error."""
-    out = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    wrong = F.raise_error(F.concat(F.lit("decoding differs in document "), F.col("doc_id").cast("string")))
-    return out.withColumn("decoded", F.when(same, F.col("decoded")).otherwise(wrong.cast("string"))).select(
-        *docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens")
-    )
+    """Token ids of what is left; a text that they don't decode to is an error. ``ids`` and ``n_tokens`` of the input, if there
+    are such columns, are replaced."""
+    ids, decoded = fresh(docs, "ids"), fresh(docs, "decoded")
+    out = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids, decoded)
+    same = F.col(decoded) == F.coalesce("text", F.lit(""))
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("decoding differs in document"), F.col("doc_id")))
+    checked = F.when(same, F.col(ids)).otherwise(wrong.cast("array<int>"))
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    return out.withColumn(ids, checked).select(*kept, F.col(ids).alias("ids"), F.size(ids).cast("long").alias("n_tokens"))
 
 
 STAGES = [
