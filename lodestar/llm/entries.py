@@ -63,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express. The others are held against brute force or libraries in the tests."""
     return {
+        "op1_minhash": oracle.NEAR_DUPLICATES,
         "op2_substring_dedup": oracle.SUBSTRING_DEDUP,
         "op3_decontaminate": oracle.DECONTAMINATE,
         "op8_suffix_dedup": oracle.SUFFIX_DEDUP,

@@ -6,6 +6,20 @@ from __future__ import annotations
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: All pairs that share a shingle, and the least document that a chain of links leads to.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, x, count(*) AS n FROM (
+  SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)) GROUP BY ALL),
+size AS (SELECT doc_id, sum(n) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS alike FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE alike >= 0.8 * (x.n + y.n - alike) - 1e-9),
+near AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, b AS c FROM near UNION SELECT reach.doc_id, near.b FROM reach JOIN near ON reach.c = near.a),
+head AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(least(c, doc_id), doc_id) AS class_id, doc_id = coalesce(least(c, doc_id), doc_id) AS is_kept FROM d LEFT JOIN head USING (doc_id)
+"""
+
 SUBSTRING_DEDUP = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),

@@ -40,13 +40,50 @@ def test_signatures_estimate_weighted_jaccard():
     true = sum((a & b).values()) / sum((a | b).values())
     bags = [tuple(np.array(z) for z in zip(*sorted(c.items()), strict=True)) for c in (a, b)]
     bags = [(x.astype(np.uint64), w) for x, w in bags]
-    times = minhash.signatures(bags, 4000)
-    assert np.isfinite(times).all()
-    assert abs((times[0] == times[1]).mean() - true) < 0.03
-    assert minhash.signatures([(np.zeros(0, np.uint64), np.zeros(0, np.int64))]).min() == np.inf
+    names = minhash.signatures(bags, 4000)
+    assert abs((names[0] == names[1]).mean() - true) < 0.03
+    assert not minhash.signatures([(np.zeros(0, np.uint64), np.zeros(0, np.int64))]).any()
+    assert minhash.signatures([]).shape == (0, minhash.REGISTERS)
     assert minhash.similarity_at_least(*bags, true) and not minhash.similarity_at_least(*bags, true + 0.01)
 
 
+def some_bag(rng, n, most):
+    ids = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    return ids, rng.integers(1, most + 1, len(ids))
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(1)
+    bags = [some_bag(rng, int(n), int(w)) for n, w in zip(rng.integers(1, 600, 150), rng.choice([1, 2, 3, 50, 5000], 150), strict=True)]
+    together = minhash.signatures(bags)
+    assert together.all()
+    order = rng.permutation(150)
+    assert (minhash.signatures([bags[i] for i in order]) == together[order]).all()
+    for i in range(0, 150, 7):
+        assert (minhash.signatures([bags[i]])[0] == together[i]).all()
+
+
+def test_points_of_a_hierarchy_are_evenly_spread():
+    one = np.array([77], np.uint64)
+    rows = minhash.signatures([(one, np.array([w])) for w in (1, 3, 6, 1000, 1024, 1300)], 6000)
+    for i, j, true in ((0, 1, 1 / 3), (1, 2, 1 / 2), (3, 4, 1000 / 1024), (3, 5, 1000 / 1300), (2, 5, 6 / 1300)):
+        assert abs((rows[i] == rows[j]).mean() - true) < 0.03
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 9])
+def test_links_of_short_texts_among_longer_ones(spark, documents, partitions):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(200):  # similarity 6 / 7
+        w = [word() for _ in range(10)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, word()]))]
+    rows += [(1000 + i, " ".join(word() for _ in range(r.randint(100, 300)))) for i in range(600)]
+    r.shuffle(rows)
+    found = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(documents(rows).repartition(partitions)).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(200)) >= 199 and len(set(found.values())) >= 800
+
+
 @pytest.mark.parametrize("chunk", [512, 3])  # 3: every star and field is cut into many
 def test_against_brute_force(documents, monkeypatch, chunk):
     monkeypatch.setattr(minhash, "CHUNK", chunk)
