@@ -12,6 +12,8 @@ from lodestar.llm.common import table
 
 #: The vocabulary of the encoding query and of the pipeline.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Pictures that a task draws and describes.
+PICTURES = 1000
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +49,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: an edited copy of each picture whose id is divisible by 20. Index: every picture."""
-    rows = table(spark, sf_dir, "embeddings").repartition("vec_id")  # drawing is slow, and a file may be one task
-    return media.find_copies(media.pictures(rows.where("vec_id % 20 = 0"), copies=True), media.pictures(rows))
+    """Queries: an edited copy of each picture whose id is divisible by 20. Index: every picture. Drawing is slow, and a file
+    may be one task, so tasks get PICTURES rows each."""
+    rows = table(spark, sf_dir, "embeddings")
+    n = rows.count()
+    dealt = rows.repartition(1 + n // PICTURES, "vec_id")
+    asked = rows.where("vec_id % 20 = 0").repartition(1 + n // 20 // PICTURES, "vec_id")
+    return media.find_copies(media.pictures(asked, copies=True), media.pictures(dealt))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Each image gives corners at several scales; around each, the direction of the intensity's centroid turns a fixed set of
 brightness comparisons into a 256-bit descriptor that keeps still under rotation. Descriptors meet in hash tables, each on
-some of their bits (two that differ in few bits agree in some table); pairs that are near in Hamming distance vote,
-and images match if enough of their pairs, and more than by chance, agree on one similarity transform.
+some of their bits (two that differ in few bits agree in some table); images with enough meetings have their descriptors
+compared, pairs within the Hamming distance vote, and images match if enough of these pairs, and more than by chance,
+agree on one similarity transform.
 """
 
 from __future__ import annotations
@@ -16,25 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import binaries, written
+from lodestar.llm.common import binaries, in_slices, lists, mix, row_keys, written
 
-BITS, TABLES, KEY_BITS = 256, 18, 24
-#: The least strength of a corner. All of them are described, so there are more the larger an image is.
-STRENGTH = 1e-3
+BITS, TABLES, KEY_BITS = 256, 28, 24
+#: The least strength of a corner: some ten times what noise of a deviation of two grey values gives. All corners above it
+#: are described, so there are more the larger an image is. Of corners within RIVALS pixels, the strongest counts.
+STRENGTH, RIVALS = 5.0, 2
 SCALES = (1.0, 1.26, 1.59, 2.0)
 PATCH = 9
 #: Two descriptors match up to this Hamming distance; two images from this many agreeing matches.
-DISTANCE, AGREE = 60, 4
+DISTANCE, AGREE = 32, 4
 #: More matches agree by chance the more there are: an unrelated pair may be linked with this probability at most.
 CHANCE = 0.01
-#: Corners described at once; descriptors given on at once; transforms tried at once.
-_CORNERS, _ROWS, _TRIALS = 2000, 50_000, 128
+#: Bits of the filter that says which keys the queries have: 16 MB, however many queries there are.
+FILTER_BITS = 27
+#: Corners described at once; transforms tried at once.
+_CORNERS, _TRIALS = 2000, 128
 
 _RNG = np.random.default_rng(20)
 _PAIRS = np.clip(np.round(_RNG.normal(0, PATCH / 2.5, (BITS, 4))), -PATCH, PATCH)
 _TABLE_BITS = np.stack([_RNG.choice(BITS, KEY_BITS, replace=False) for _ in range(TABLES)])
+_SPAN = np.arange(-PATCH, PATCH + 1)
+_DISC = (_SPAN[:, None] ** 2 + _SPAN**2 <= (PATCH + 0.5) ** 2).astype(float)
 
-_DESCRIBED = "image_id long, media_key long, slot int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
+_DESCRIBED = "image_id long, places array<float>, bits binary"
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -51,9 +57,9 @@ def decode(data: bytes | None) -> np.ndarray | None:
                 return None
             continue
         end = at
-        while data[end : end + 1].isdigit():
+        while end - at < 10 and data[end : end + 1].isdigit():
             end += 1
-        if end == at:
+        if end == at or end - at == 10:  # no image is that large
             return None
         numbers.append(int(data[at:end]))
         at = end
@@ -107,8 +113,9 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = 4
         inner[:edge] = inner[-edge:] = 0
         inner[:, :edge] = inner[:, -edge:] = 0
-        around = np.pad(inner, 1)
-        peak = np.max([around[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
+        peak = np.pad(inner, RIVALS)
+        peak = np.max([peak[i : i + h] for i in range(2 * RIVALS + 1)], axis=0)
+        peak = np.max([peak[:, j : j + w] for j in range(2 * RIVALS + 1)], axis=0)
         y, x = np.nonzero((inner == peak) & (inner > STRENGTH))
         for at in range(0, len(y), _CORNERS):
             i, j = y[at : at + _CORNERS], x[at : at + _CORNERS]
@@ -121,11 +128,11 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _at_corners(level: np.ndarray, i: np.ndarray, j: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and bits of corners. The direction is that of the centroid of a disc, whose plain mean counts for nothing."""
     h, w = level.shape
-    span = np.arange(-PATCH // 2, PATCH // 2 + 1)
-    rows, columns = np.clip(i[:, None] + span, 0, h - 1), np.clip(j[:, None] + span, 0, w - 1)
-    part = level[rows[:, :, None], columns[:, None, :]]
-    angle = np.arctan2((part * span[:, None]).sum((1, 2)), (part * span).sum((1, 2)))
+    rows, columns = np.clip(i[:, None] + _SPAN, 0, h - 1), np.clip(j[:, None] + _SPAN, 0, w - 1)
+    part = level[rows[:, :, None], columns[:, None, :]] * _DISC
+    angle = np.arctan2(part.sum(2) @ _SPAN, part.sum(1) @ _SPAN)
     co, si = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
     x = _PAIRS[:, (0, 2)] * co - _PAIRS[:, (1, 3)] * si
     y = _PAIRS[:, (0, 2)] * si + _PAIRS[:, (1, 3)] * co
@@ -135,59 +142,84 @@ def _at_corners(level: np.ndarray, i: np.ndarray, j: np.ndarray, scale: float) -
     return places, v[:, :, 0] < v[:, :, 1]
 
 
-def _described(ids: list, media_keys: list, places: list, bits: list) -> pa.RecordBatch:
-    n = np.array([len(p) for p in places], int)
-    p = np.concatenate(places) if places else np.zeros((0, 4))
-    b = np.concatenate(bits) if bits else np.zeros((0, BITS), bool)
-    words = np.packbits(b, axis=1).view(np.int64).reshape(len(b), 4)
-    slots = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
-    columns = [pa.array(np.repeat(np.array(c, np.int64), n)) for c in (ids, media_keys)] + [pa.array(slots.astype(np.int32))]
-    columns += [pa.array(p[:, i].astype(np.float32)) for i in range(4)]
-    columns += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)]
-    names = ["image_id", "media_key", "slot", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
-    return pa.RecordBatch.from_arrays(columns, names)
+def _rounded(places: np.ndarray) -> np.ndarray:
+    """Places to a sixteenth of a pixel and angles to a 64th: few different numbers take little room in Parquet."""
+    return (np.round(places * [16, 16, 100, 64]) / [16, 16, 100, 64]).astype(np.float32)
 
 
 def _describe(batches):
-    held: list[tuple] = []
-    rows = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            for image_id, key, data in zip(*(part.column(i).to_pylist() for i in (0, 1)), binaries(part.column(2)), strict=True):
-                image = decode(data)
-                if image is not None and min(image.shape) >= 2 * PATCH:
-                    held.append((image_id, key, *describe(image)))
-                    rows += len(held[-1][2])
-                    if rows >= _ROWS:
-                        yield _described(*map(list, zip(*held, strict=True)))
-                        held, rows = [], 0
-    if held:
-        yield _described(*map(list, zip(*held, strict=True)))
+        ids, places, bits = [], [], []
+        for image_id, data in zip(batch.column(0).to_pylist(), binaries(batch.column(1)), strict=True):
+            image = decode(data)
+            if image is not None and min(image.shape) >= 2 * PATCH:
+                p, b = describe(image)
+                if len(p):
+                    ids.append(image_id)
+                    places.append(_rounded(p).ravel())
+                    bits.append(np.packbits(b, axis=1).tobytes())
+        columns = [pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.float32())), pa.array(bits, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["image_id", "places", "bits"])
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """The descriptors of images(image_id, media), numbered within each image, and a hash of the media."""
-    rows = images.where("image_id is not null and media is not null")
-    media = F.col("media").cast("binary")
-    return rows.select(F.col("image_id").cast("long"), F.xxhash64(media), media).mapInArrow(_describe, _DESCRIBED)
+    """A row for each of images(image_id, media) that has corners: image_id, places (x, y, scale, angle of each corner), bits
+    (32 bytes for each corner)."""
+    rows = images.select(F.col("image_id").cast("long"), F.col("media").cast("binary"))
+    return rows.where("image_id is not null and media is not null").mapInArrow(in_slices(_describe, 1), _DESCRIBED)
 
 
-def _enter(batches):
+def _table_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """image_id and slot of each descriptor of a batch(image_id, bits), and its key in each of the tables."""
+    data = batch.column(1).to_pylist()
+    n = np.array([len(x) // (BITS // 8) for x in data], int)
+    b = np.unpackbits(np.frombuffer(b"".join(data), np.uint8).reshape(-1, BITS // 8), axis=1)
+    keys = np.empty((len(b), TABLES), np.int64)
+    weights = 1 << np.arange(KEY_BITS, dtype=np.int32)
+    for t, chosen in enumerate(_TABLE_BITS):
+        keys[:, t] = b[:, chosen] @ weights + (t << KEY_BITS)
+    slots = np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(batch.column(0).to_numpy(), n), slots, keys
+
+
+def _place_in_filter(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter_words(batches):
     for batch in batches:
-        words = np.stack([c.to_numpy() for c in batch.columns[2:]], 1)
-        b = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1)
-        keys = np.stack([np.packbits(b[:, t], axis=1) for t in _TABLE_BITS], 1).astype(np.int64)
-        keys = (keys << np.array([0, 8, 16])).sum(2) + (np.arange(TABLES) << KEY_BITS)
-        whose = (pa.array(np.repeat(c.to_numpy(), TABLES)) for c in batch.columns[:2])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *whose], ["key", "image_id", "slot"])
-
-
-def entries(described: DataFrame) -> DataFrame:
-    """key, image_id, slot: where each descriptor stands in each of the tables."""
-    return described.select("image_id", "slot", "d0", "d1", "d2", "d3").mapInArrow(
-        _enter, "key long, image_id long, slot int"
-    )
+        at = np.unique(_place_in_filter(_table_keys(batch)[2].ravel()))
+        words, first = np.unique(at >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+
+def key_filter(described: DataFrame) -> np.ndarray:
+    """A bit for each value of a hash of the keys, set if some descriptor has such a key. Its size is fixed, so it may be
+    sent to all tasks; with more keys it holds back less."""
+    words = described.select("image_id", "bits").mapInArrow(in_slices(_filter_words, 1), "word long, bits long")
+    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def entries(described: DataFrame, wanted=None) -> DataFrame:
+    """key, image_id, slot: where each descriptor stands in each of the tables; those that a broadcast filter lets pass."""
+
+    def run(batches):
+        for batch in batches:
+            ids, slots, keys = _table_keys(batch)
+            row = np.repeat(np.arange(len(ids)), TABLES)
+            keys = keys.ravel()
+            if wanted is not None:
+                at = _place_in_filter(keys)
+                found = (wanted.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+                keys, row = keys[found], row[found]
+            columns = [pa.array(keys), pa.array(ids[row]), pa.array(slots[row].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "image_id", "slot"])
+
+    return described.select("image_id", "bits").mapInArrow(in_slices(run, 1), "key long, image_id long, slot int")
 
 
 def _distinct(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,57 +278,82 @@ def by_chance(matches: np.ndarray) -> int:
     return n  # and the match that gave the transform agrees with itself
 
 
-def _consent(least: int):
+def matched(one: tuple, two: tuple, pairs: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
+    """Of the pairs (slot of one, slot of two) those within the Hamming distance: their places side by side."""
+    (places_1, bits_1), (places_2, bits_2) = one, two
+    apart = np.bitwise_count(bits_1[pairs[:, 0]] ^ bits_2[pairs[:, 1]]).sum(1)
+    near = pairs[apart <= distance]
+    return np.unique(np.concatenate([places_1[near[:, 0]], places_2[near[:, 1]]], 1), axis=0)
+
+
+def agreed(matches: np.ndarray, agree: int = AGREE) -> int:
+    """How many matches agree, if that is enough and more than by chance; else 0."""
+    n = agreeing(matches) if len(matches) >= agree else 0
+    return n if n >= agree and n > by_chance(matches) else 0
+
+
+def _consent(distance: int, agree: int):
     def run(batches):
         for batch in batches:
             out = []
-            flat = batch.column(2)
-            fields = np.stack([c.to_numpy() for c in flat.flatten().flatten()], 1).astype(np.float64)
-            at = 0
-            for query, image, size in zip(*(batch.column(i).to_pylist() for i in (0, 1)), flat.value_lengths().to_pylist(), strict=True):
-                matches = fields[at : at + size]
-                at += size
-                n = agreeing(matches)
-                if n >= least and n > by_chance(matches):
+            sides = []
+            for at in (2, 4):
+                ends, places = lists(batch.column(at))
+                places = places.to_numpy(zero_copy_only=False).astype(np.float64)
+                sides.append((ends, places, binaries(batch.column(at + 1))))
+            ends, met = lists(batch.column(6))
+            slots = np.stack([x.to_numpy(zero_copy_only=False) for x in met.flatten()], 1)
+            for k, (query, image) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)):
+                one, two = (
+                    (p[e[k] : e[k + 1]].reshape(-1, 4), np.frombuffer(b[k], np.uint64).reshape(-1, BITS // 64)) for e, p, b in sides
+                )
+                n = agreed(matched(one, two, slots[ends[k] : ends[k + 1]], distance), agree)
+                if n:
                     out.append((query, image, n))
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "image_id", "agreeing"])
 
-    return run
+    return in_slices(run, 5)
 
 
 def find_copies(queries: DataFrame, images: DataFrame, distance: int = DISTANCE, agree: int = AGREE) -> DataFrame:
     """The images that a query image is a cropped, scaled, turned or edited copy of: query_id, image_id, class_id, agreeing.
 
-    queries(image_id, media), images(image_id, media); media is binary PGM or PPM. Images of the same bytes are a class, named
-    by its least image_id. Rows with a query_id link it to a class (image_id is the class_id; agreeing: how many matches do);
-    rows without one say which class an image is in, for classes of two and more. Null ids and media, other formats, and
-    images too small or too even to have corners have no row. Repeated image_ids count as one image. Every image is in the
-    index. Pairs of descriptors are taken once however many tables they meet in.
+    queries(image_id, media), images(image_id, media); media is binary PGM or PPM; further columns are ignored. Images of
+    the same bytes are a class, named by its least image_id. Rows with a query_id link it to a class (image_id is the
+    class_id; agreeing: how many matches do); rows without one say which class an image is in, for classes of two and more.
+    Null ids and media, other formats, and images too small or too even to have corners link to nothing. Rows alike in
+    image_id and media count once; of one image_id with several media, each is asked and found. Every class is in the
+    index with all its corners, images of any size. An empty table on either side gives no links.
+
+    Only the keys of the tables move at first; index entries whose key no query has are held back by a filter of fixed size.
+    Descriptors move for the pairs of images that meet ``agree`` times or more, as fewer can't agree.
     """
-    described = written(descriptors(images), "descriptors")
-    asked = written(descriptors(queries), "descriptors")
-    ids = described.select("image_id", "media_key").distinct()
-    heads = ids.groupBy("media_key").agg(F.min("image_id").alias("class_id"), F.count("*").alias("n"))
-    heads = written(heads, "classes")
-    index = described.join(heads.select("media_key", F.col("class_id").alias("image_id")), ["media_key", "image_id"])
-    index = written(index.drop("media_key"), "index")
-    one = entries(asked).select("key", F.col("image_id").alias("query_id"), F.col("slot").alias("query_slot"))
-    met = one.join(entries(index), "key").drop("key").distinct()
-    a = asked.select(*(F.col(c).alias(f"a_{c}") for c in asked.columns))
-    both = met.join(a, (F.col("query_id") == F.col("a_image_id")) & (F.col("query_slot") == F.col("a_slot")))
-    both = both.join(index, ["image_id", "slot"])
-    apart = sum(F.bit_count(F.col(f"a_d{i}").bitwiseXOR(F.col(f"d{i}"))) for i in range(4))
-    sides = [*(f"a_{c}" for c in ("x", "y", "scale", "angle")), "x", "y", "scale", "angle"]
-    match = F.struct(*(F.col(c).alias(n) for c, n in zip(sides, "abcdefgh", strict=True)))
-    votes = both.where(apart <= distance).select("query_id", "image_id", match.alias("match"))
-    pairs = votes.groupBy("query_id", "image_id").agg(F.collect_set("match").alias("matches"))
-    pairs = pairs.where(F.size("matches") >= agree)
-    links = pairs.mapInArrow(_consent(agree), "query_id long, image_id long, agreeing long").select(
-        "query_id", "image_id", F.col("image_id").alias("class_id"), "agreeing"
-    )
+    image_id, media = F.col("image_id").cast("long"), F.col("media").cast("binary")
+    key = ["k1", "k2"]
+    ids = images.where("image_id is not null and media is not null")
+    ids = ids.select(image_id.alias("image_id"), *row_keys(F.lit(0), media)).distinct()
+    ids = written(ids, "media-ids")
+    classes = written(ids.groupBy(*key).agg(F.min("image_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    others = ids.join(classes.where("n > 1"), key).where("image_id <> class_id").select("image_id", *key)
+    whole = images.select(image_id.alias("image_id"), media.alias("media")).where("image_id is not null and media is not null")
+    heads = whole.withColumns(dict(zip(key, row_keys(F.lit(0), F.col("media")), strict=True)))
+    heads = heads.join(written(others, "copies"), ["image_id", *key], "left_anti")
+    index = written(descriptors(heads).dropDuplicates(["image_id", "bits"]), "index")
+    asked = written(descriptors(queries).dropDuplicates(["image_id", "bits"]), "asked")
+    wanted = images.sparkSession.sparkContext.broadcast(key_filter(asked))
+    one = entries(asked).select("key", F.col("image_id").alias("query_id"), F.col("slot").alias("a"))
+    two = entries(index, wanted).select("key", "image_id", F.col("slot").alias("b"))
+    met = one.join(two, "key").groupBy("query_id", "image_id").agg(F.collect_set(F.struct("a", "b")).alias("met"))
+    met = written(met.where(F.size("met") >= agree), "met")
+    left = asked.toDF("query_id", "query_places", "query_bits")
+    both = met.join(left, "query_id").join(index, "image_id")
+    both = both.select("query_id", "image_id", "query_places", "query_bits", "places", "bits", "met")
+    links = both.mapInArrow(_consent(distance, agree), "query_id long, image_id long, agreeing long")
+    links = links.groupBy("query_id", "image_id").agg(F.max("agreeing").alias("agreeing"))
+    links = links.select("query_id", "image_id", F.col("image_id").alias("class_id"), "agreeing")
     nothing = F.lit(None).cast("long")
-    members = ids.join(heads.where("n > 1"), "media_key").select(
+    members = ids.join(classes.where("n > 1"), key).select(
         nothing.alias("query_id"), "image_id", "class_id", nothing.alias("agreeing")
     )
     return links.unionByName(members)
@@ -318,16 +375,27 @@ def draw(vector: np.ndarray, size: int = 64) -> np.ndarray:
     return np.clip(128 + 50 * picture / (float(picture.std()) or 1.0), 0, 255)
 
 
+def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bilinear, at any places; beyond the edge as at the edge."""
+    h, w = image.shape
+    y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+    y0, x0 = np.minimum(y.astype(int), max(h - 2, 0)), np.minimum(x.astype(int), max(w - 2, 0))
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = y - y0, x - x0
+    return (image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
+
+
 def edited(image: np.ndarray, seed: int) -> np.ndarray:
-    """A copy: cropped to 70 to 90 percent, scaled to another size, brighter or darker, with other contrast and noise."""
+    """A copy: turned by any angle, cropped to 70 to 90 percent of each side, scaled to another size, brighter or darker, with
+    other contrast and noise."""
     rng = np.random.default_rng(seed)
     h, w = image.shape
-    keep = rng.uniform(0.7, 0.9)
-    ch, cw = int(h * keep), int(w * keep)
-    top, left = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
-    part = image[top : top + ch, left : left + cw]
-    factor = rng.uniform(0.9, 1.2)
-    part = resized(part, int(ch * factor), int(cw * factor))
+    keep, factor, turn = rng.uniform(0.7, 0.9), rng.uniform(0.9, 1.2), rng.uniform(0, 2 * np.pi)
+    ch, cw = int(h * keep * factor), int(w * keep * factor)
+    middle = [(n - 1) / 2 + rng.uniform(-0.5, 0.5) * (1 - keep) * n for n in (h, w)]
+    y, x = ((np.arange(n) - (n - 1) / 2) / factor for n in (ch, cw))
+    co, si = np.cos(turn), np.sin(turn)
+    part = sampled(image, middle[0] + co * y[:, None] + si * x, middle[1] - si * y[:, None] + co * x)
     return np.clip((part - 128) * rng.uniform(0.8, 1.1) + 128 + rng.uniform(-15, 15) + rng.normal(0, 2, part.shape), 0, 255)
 
 
@@ -336,12 +404,13 @@ def pictures(embeddings: DataFrame, copies: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            media = []
-            ids = batch.column(0).to_pylist()
-            for i, v in zip(ids, batch.column(1).to_pylist(), strict=True):
-                image = draw(np.nan_to_num(np.array([0.0 if x is None else x for x in v], np.float32)))
-                media.append(encode_pgm(edited(image, i & 0xFFFFFFFF) if copies else image))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["image_id", "media"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                media = []
+                for i, v in zip(*(part.column(k).to_pylist() for k in (0, 1)), strict=True):
+                    image = draw(np.nan_to_num(np.array([0.0 if x is None else x for x in v], np.float32)))
+                    media.append(encode_pgm(edited(image, i & 0xFFFFFFFF) if copies else image))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["image_id", "media"])
 
     rows = embeddings.where("vec_id is not null and size(embedding) > 0")
     return rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "image_id long, media binary")
