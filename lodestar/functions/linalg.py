@@ -35,11 +35,6 @@ def normalized(v: Column) -> Column:
     return let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
-def rotated(v: Column, rows: Column) -> Column:
-    """The products of v with each of ``rows`` (array of arrays)."""
-    return let(v, lambda once: F.transform(rows, lambda r: dot(once, r)))
-
-
 def rotation(dim: int, seed: int = 42) -> np.ndarray:
     """A random orthogonal matrix; the same for the same arguments. y = x @ rotation."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))

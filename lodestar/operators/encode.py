@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import codebook, linalg
-from lodestar.operators.model import Model, binary_column, matrix
+from lodestar.operators.model import Model, binary_column, list_column, matrix
 
 CODES = "vec_id long, sq_codes binary, qjl_signs binary, norm double, res_norm double"
 
@@ -28,22 +28,30 @@ def encode(vectors: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, CODES)
 
 
-def with_rotation(df: DataFrame, matrix_rows: np.ndarray, name: str = "rot") -> DataFrame:
-    """The rows of a matrix beside every row, as a broadcast of one row (dim * dim doubles)."""
-    one = df.sparkSession.createDataFrame([(matrix_rows.tolist(),)], f"{name} array<array<double>>")
-    return df.crossJoin(F.broadcast(one))
+def times_matrix(df: DataFrame, key: str, values: str, by: np.ndarray, name: str = "y") -> DataFrame:
+    """key and the products of a vector column with a matrix, as one matrix product a batch. Nulls are dropped."""
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column(1), by.shape[0]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_column(x @ by)], [key, name])
+
+    rows = df.where(F.col(values).isNotNull()).select(F.col(key).cast("long").alias(key), values)
+    return rows.mapInArrow(run, f"{key} long, {name} array<double>")
 
 
 def rotated(vectors: DataFrame, model: Model) -> DataFrame:
     """vec_id, norm, y: the rotated unit vectors."""
-    unit = vectors.where("embedding is not null").select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        linalg.norm(F.col("embedding")).alias("norm"),
-        linalg.normalized(F.col("embedding")).alias("unit"),
-    )
-    return with_rotation(unit, model.rotation.T).select(
-        "vec_id", "norm", linalg.rotated(F.col("unit"), F.col("rot")).alias("y")
-    )
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column(1), model.dim).astype(np.float64)
+            norms = np.sqrt(np.einsum("ij,ij->i", x, x))
+            y = (x / np.maximum(norms, 1e-12)[:, None]) @ model.rotation
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(norms), list_column(y)], ["vec_id", "norm", "y"])
+
+    rows = vectors.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding")
+    return rows.mapInArrow(run, "vec_id long, norm double, y array<double>")
 
 
 def encoded(vectors: DataFrame, model: Model) -> DataFrame:
@@ -53,8 +61,3 @@ def encoded(vectors: DataFrame, model: Model) -> DataFrame:
     df = df.withColumn("rest", F.zip_with("y", "about", lambda a, b: a - b))
     return df.withColumn("res_norm", linalg.norm(F.col("rest")))
 
-
-def score(q: Column, about: Column, rest: Column, norm: Column, res_norm: Column, model: Model) -> Column:
-    """Approximate inner product of a rotated query with an encoded row."""
-    sign = F.transform(rest, lambda r: F.when(r > 0, 1.0).otherwise(-1.0))
-    return (linalg.dot(q, about) + F.lit(model.scale) * res_norm * linalg.dot(q, sign)) * norm

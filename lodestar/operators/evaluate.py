@@ -32,13 +32,20 @@ def top1(found: DataFrame, truth: DataFrame, ks: Sequence[int] = KS) -> DataFram
 
 
 def summary(methods: dict[str, DataFrame], truth: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
-    """method, k, top1_in_k, set_recall."""
-    out = None
-    for name, found in methods.items():
-        part = top1(found, truth, ks).join(set_recall(found, truth, ks).withColumnRenamed("recall", "set_recall"), "k")
-        part = part.select(F.lit(name).alias("method"), "k", "top1_in_k", "set_recall")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """method, k, top1_in_k, set_recall, for all methods at once."""
+    found = None
+    for name, rows in methods.items():
+        part = rows.select(F.lit(name).alias("method"), "query_id", F.col("rk").alias("found_rk"), "vec_id")
+        found = part if found is None else found.unionByName(part)
+    levels = truth.sparkSession.createDataFrame([(int(k),) for k in ks], "k long")
+    hits = truth.select("query_id", "rk", "vec_id").join(found, ["query_id", "vec_id"])  # at most a row for each found
+    every = truth.where("rk = 1").select("query_id").crossJoin(F.broadcast(levels))
+    named = truth.sparkSession.createDataFrame([(name,) for name in methods], "method string")
+    counted = hits.join(F.broadcast(levels), (F.col("rk") <= F.col("k")) & (F.col("found_rk") <= F.col("k")))
+    counted = counted.groupBy("method", "query_id", "k").agg(F.count("*").alias("both"), F.max((F.col("rk") == 1).cast("double")).alias("first"))
+    each = every.crossJoin(F.broadcast(named)).join(counted, ["method", "query_id", "k"], "left")
+    recall = F.avg(F.coalesce("both", F.lit(0)) / F.col("k")) * 100
+    return each.groupBy("method", "k").agg((F.avg(F.coalesce("first", F.lit(0.0))) * 100).alias("top1_in_k"), recall.alias("set_recall"))
 
 
 def report(results: DataFrame) -> str:

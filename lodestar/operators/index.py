@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import codebook_fit, ivf, kmeans
 from lodestar.operators.encode import encode
 from lodestar.operators.model import Model
-from lodestar.operators.search import code_topk
+from lodestar.operators.search import code_topk, rescored
 
 
 @dataclass(frozen=True)
@@ -30,11 +30,18 @@ class Index:
     codes: DataFrame
     centroids: np.ndarray | None = None
 
-    def search(self, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> DataFrame:
-        """query_id, rk, vec_id, score of the k best rows for each query(query_id, q)."""
+    def search(
+        self, queries: DataFrame, k: int = 10, nprobe: int | None = None, vectors: DataFrame | None = None, wider: int = 4
+    ) -> DataFrame:
+        """query_id, rk, vec_id, score of the k best rows for each query(query_id, q).
+
+        With ``vectors``(vec_id, embedding) the ``wider`` times k best by code are scored again exactly."""
+        n = k if vectors is None else k * wider
         if self.centroids is None:
-            return code_topk(self.codes, queries, self.model, k)
-        return ivf.search(self.codes, queries, self.centroids, self.model, k, nprobe or self.config.nprobe)
+            found = code_topk(self.codes, queries, self.model, n)
+        else:
+            found = ivf.search(self.codes, queries, self.centroids, self.model, n, nprobe or self.config.nprobe)
+        return found if vectors is None else rescored(found, vectors, queries, k)
 
     def save(self, path: str) -> None:
         """Three tables: codes (by list_id, if there are lists), centroids, codebook."""
@@ -42,7 +49,7 @@ class Index:
         if self.centroids is None:
             self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         else:
-            by_list = self.codes.repartition("list_id").sortWithinPartitions("list_id")
+            by_list = self.codes.hint("rebalance", "list_id")  # a large list is cut into several files
             by_list.write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/codes")
         lists = [] if self.centroids is None else [(i, c.tolist()) for i, c in enumerate(self.centroids)]
         rows = spark.createDataFrame(lists, "list_id long, c array<double>")
@@ -65,11 +72,11 @@ class Index:
         return cls(config, model, spark.read.parquet(f"{path}/codes"), centroids)
 
 
-def build_index(vectors: DataFrame, config: IndexConfig, fit_codebook: bool = False) -> Index:
+def build_index(vectors: DataFrame, config: IndexConfig, fit_codebook: bool = False, rounds: int = codebook_fit.ITERATIONS) -> Index:
     """An index of vectors(vec_id, embedding). The codebook, if fitted, is fitted once and for all lists."""
     model = Model(config.dim, config.bits, config.seed)
     if fit_codebook:
-        model = Model(config.dim, config.bits, config.seed, codebook_fit.fit(vectors, model))
+        model = Model(config.dim, config.bits, config.seed, codebook_fit.fit(vectors, model, rounds))
     if config.nlist is None:
         return Index(config, model, encode(vectors, model))
     centroids = kmeans.train(vectors, config.nlist, seed=config.seed)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.operators.encode import CODES
 from lodestar.operators.kmeans import nearest
 from lodestar.operators.model import Model, binary_column, matrix
-from lodestar.operators.search import QUERY_BLOCK, best_of_batch, code_arrays, query_blocks, ranked
+from lodestar.operators.search import CODE_COLUMNS, QUERY_BLOCK, Best, code_arrays, query_blocks, ranked, row_slices
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -83,24 +83,26 @@ def search(
     """The k best rows of the probed lists for each query. Lists that no query of a block probes are not read, if codes
     are partitioned by list_id."""
     found = None
+    every = codes.select(*CODE_COLUMNS, F.col("list_id").cast("long"))
     for query_ids, q in query_blocks(queries, block):
         probes = probe_arrays(q, centroids, nprobe)
         wanted = np.zeros((len(centroids), len(q)), bool)
         wanted[probes.ravel(), np.repeat(np.arange(len(q)), probes.shape[1])] = True
+        rotated = model.rotate(q)
 
-        def run(batches, query_ids=query_ids, q=q, wanted=wanted):
-            for batch in batches:
+        def run(batches, query_ids=query_ids, q=rotated, wanted=wanted):
+            best = Best(query_ids, k)
+            for batch in row_slices(batches, len(query_ids)):
                 ids, lists = batch.column(0).to_numpy(), batch.column(5).to_numpy()
                 arrays = code_arrays(batch, model, 1)
                 for at in np.unique(lists):
                     rows, asked = np.flatnonzero(lists == at), np.flatnonzero(wanted[at])
                     if len(asked):
-                        s = model.scores(q[asked], *(a[rows] for a in arrays))
-                        yield best_of_batch(ids[rows], s, query_ids[asked], k)
+                        best.add(ids[rows], model.scores(q[asked], *(a[rows] for a in arrays)), asked)
+            yield best.batch()
 
         lists = np.flatnonzero(wanted.any(1)).tolist()
-        rows = codes.where(F.col("list_id").isin(lists)) if len(lists) < len(centroids) else codes
-        rows = rows.select("vec_id", "sq_codes", "qjl_signs", "norm", "res_norm", F.col("list_id").cast("long"))
+        rows = every.where(F.col("list_id").isin(lists)) if len(lists) < len(centroids) else every
         part = rows.mapInArrow(run, "query_id long, vec_id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:

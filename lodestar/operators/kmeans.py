@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.model import matrix
+from lodestar.sources.scratch import written
 
 #: Rows that centroids are trained on, at most.
 SAMPLE_ROWS = 65_536
 ITERATIONS = 30
+#: A sample of up to so many numbers is trained on in the driver, where a round takes less than a job's overhead.
+LOCAL_VALUES = 1 << 23
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -23,15 +26,20 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (np.einsum("ij,ij->i", centroids, centroids) - 2.0 * (x @ centroids.T)).argmin(1)
 
 
+def sample_key(seed: int = 0) -> Column:
+    """A multiplicative hash of vec_id."""
+    key = (F.col("vec_id").cast("decimal(38,0)") + F.lit(seed)) * 2654435761
+    return F.pmod(key, F.lit(1 << 32).cast("decimal(38,0)")).cast("long")
+
+
 def sample(vectors: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A fixed pseudo-random choice of at most ``rows`` rows: those of the least multiplicative hash of vec_id."""
-    key = F.pmod(F.col("vec_id").cast("decimal(38,0)") * 2654435761, F.lit(1 << 32).cast("decimal(38,0)")).cast("long")
-    return vectors.withColumn("sample_key", key).orderBy("sample_key", "vec_id").limit(rows)
+    """A fixed pseudo-random choice of at most ``rows`` rows: those of the least hash of vec_id."""
+    return vectors.withColumn("sample_key", sample_key()).orderBy("sample_key", "vec_id").limit(rows)
 
 
 def start(vectors: DataFrame, k: int, seed: int | None = None) -> np.ndarray:
     """k distinct rows: of the least ids, or of the least hashes if a seed is given. Fewer if there are fewer rows."""
-    order = F.col("vec_id") if seed is None else F.xxhash64("vec_id", F.lit(seed))
+    order = F.col("vec_id") if seed is None else sample_key(seed)
     rows = vectors.where("embedding is not null").orderBy(order, "vec_id").select("embedding").limit(k).collect()
     return np.array([r[0] for r in rows], np.float64)
 
@@ -67,13 +75,41 @@ def update(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
     return out
 
 
+def lloyd(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """One round on rows in memory."""
+    near = nearest(x, centroids)
+    n = np.bincount(near, minlength=len(centroids))
+    total = np.zeros_like(centroids)
+    np.add.at(total, near, x)
+    return np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)
+
+
+def in_memory(vectors: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """vec_id and embedding of a sample, or None if that is too large for the driver."""
+    first = vectors.select(F.size("embedding").alias("dim")).first()
+    if not first or first["dim"] * min(rows, vectors.count()) > LOCAL_VALUES:
+        return None
+    got = sample(vectors, rows).select(F.col("vec_id").cast("long"), "embedding").toArrow().combine_chunks()
+    return got.column(0).to_numpy(), matrix(got.column(1).combine_chunks(), first["dim"]).astype(np.float64)
+
+
+def first_of(ids: np.ndarray, x: np.ndarray, k: int, seed: int | None = None) -> np.ndarray:
+    """What ``start`` gives, of rows in memory."""
+    key = [0 if seed is None else (i + seed) * 2654435761 % (1 << 32) for i in ids.tolist()]
+    return x[np.lexsort((ids, key))[:k]].copy()
+
+
 def train(vectors: DataFrame, k: int, iterations: int = ITERATIONS, rows: int = SAMPLE_ROWS, seed: int | None = 42) -> np.ndarray:
-    """Centroids of a bounded sample of vectors(vec_id, embedding) after a fixed number of rounds."""
-    chosen = sample(vectors.where("embedding is not null").select("vec_id", "embedding"), rows).cache()
-    try:
-        centroids = start(chosen, k, seed)
+    """Centroids of a bounded sample of vectors(vec_id, embedding) after a fixed number of rounds: in the driver if the
+    sample is small, else a pass over its partitions for each round."""
+    vectors = vectors.where("embedding is not null").select("vec_id", "embedding")
+    if local := in_memory(vectors, rows):
+        centroids = first_of(*local, k, seed)
         for _ in range(iterations if len(centroids) else 0):
-            centroids = update(chosen, centroids)
+            centroids = lloyd(local[1], centroids)
         return centroids
-    finally:
-        chosen.unpersist()
+    chosen = written(sample(vectors, rows).repartition(max(1, rows // 4096), "vec_id"), "training")
+    centroids = start(chosen, k, seed)
+    for _ in range(iterations if len(centroids) else 0):
+        centroids = update(chosen, centroids)
+    return centroids

@@ -43,12 +43,17 @@ class Model:
         packed_signs = np.packbits(rest > 0, axis=1, bitorder="little")
         return codebook.pack(c, self.sb), packed_signs, norms, np.sqrt(np.einsum("ij,ij->i", rest, rest))
 
-    def scores(self, queries: np.ndarray, packed: np.ndarray, signs: np.ndarray, norms, rest_norms) -> np.ndarray:
-        """Approximate inner products: a row for each code, a column for each query."""
-        q = (queries.astype(np.float64) @ self.rotation).T
-        about = np.asarray(self.book)[codebook.unpack(packed, self.sb, self.dim)]
-        s = np.unpackbits(signs, axis=1, count=self.dim, bitorder="little") * 2.0 - 1.0
-        return (about @ q + self.scale * rest_norms[:, None] * (s @ q)) * norms[:, None]
+    def rotate(self, queries: np.ndarray) -> np.ndarray:
+        return queries.astype(np.float64) @ self.rotation
+
+    def scores(self, rotated: np.ndarray, packed: np.ndarray, signs: np.ndarray, norms, rest_norms) -> np.ndarray:
+        """Approximate inner products with rotated queries: a row for each code, a column for each query."""
+        per = codebook.per_byte(self.sb)
+        values = np.asarray(self.book)[codebook.unpack(np.arange(256, dtype=np.uint8)[:, None], self.sb, per)]
+        ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little") * 2.0 - 1.0
+        about = values[packed].reshape(len(packed), -1)[:, : self.dim]
+        about = about + ones[signs].reshape(len(signs), -1)[:, : self.dim] * (self.scale * rest_norms)[:, None]
+        return (about @ rotated.T) * norms[:, None]
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -61,8 +66,22 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def byte_rows(column: pa.Array, width: int) -> np.ndarray:
     """A binary column of one width as a matrix of bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+    if column.null_count or not pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    if len(column) == 0 or ends[-1] - ends[0] != len(column) * width:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(len(column), width)
 
 
 def binary_column(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+    """Rows of bytes of one width as a binary column."""
+    rows = np.ascontiguousarray(rows, np.uint8)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def list_column(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers of one width as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))

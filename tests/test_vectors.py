@@ -1,5 +1,7 @@
 """Operators of the vector engine on small and odd inputs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -147,7 +149,56 @@ def test_probed_lists_are_the_only_ones_read(spark, data, asked, tmp_path):
     built.save(str(tmp_path / "i"))
     one = Index.load(spark, str(tmp_path / "i")).search(asked.limit(1), 3)
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [list_id" in plan.replace("(", "").replace("cast", "") or "list_id#" in plan.split("PartitionFilters")[1][:80]
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    probed = ivf.probe(asked.limit(1), built.centroids, 2).collect()
+    assert len(filters) == 1 and sorted(map(int, re.findall(r"\d+(?=[,)])", filters[0].split("IN")[1]))) == sorted(r["list_id"] for r in probed)
+    near = built.codes.where(F.col("list_id").isin([r["list_id"] for r in probed])).count()
+    assert 0 < near < 500
+
+
+def test_best_of_many_batches():
+    rng = np.random.default_rng(0)
+    scores, ids = rng.integers(0, 40, (500, 7)).astype(float), rng.permutation(500)
+    best = search.Best(np.arange(7) * 10, 5)
+    for at in range(0, 500, 90):
+        best.add(ids[at : at + 90], scores[at : at + 90])
+        best.held += search.SCORES * (at == 180)  # cut on the way
+    got = best.batch().to_pydict()
+    want = []
+    for q in range(7):
+        want += [(q * 10, ids[r], scores[r, q]) for r in np.lexsort((ids, -scores[:, q]))[:5]]
+    assert list(zip(got["query_id"], got["vec_id"], got["score"], strict=True)) == want
+    assert search.Best(np.arange(3), 2).batch().num_rows == 0
+
+
+def test_training_in_the_driver_or_in_tasks(data, monkeypatch):
+    here = kmeans.train(data, 6, 4), baselines.pq_train(data, 8, 64, 16, 3)
+    monkeypatch.setattr(kmeans, "LOCAL_VALUES", 0)
+    there = kmeans.train(data, 6, 4), baselines.pq_train(data, 8, 64, 16, 3)
+    assert all(np.abs(a - b).max() < 1e-9 for a, b in zip(here, there, strict=True))
+
+
+def test_rescored(data, asked):
+    built = build_index(data, IndexConfig(64, 2, 8, 8))
+    exact = rows_of(search.exact_topk(data, asked, 10))
+    plain, twice = built.search(asked, 10), built.search(asked, 10, vectors=data, wider=10)
+    hits = lambda found: len({r[::2] for r in ((a, b, c) for a, b, c, _ in found)} & {(a, c) for a, _, c, _ in exact})
+    assert hits(rows_of(plain)) < hits(rows_of(twice)) and hits(rows_of(twice)) > 190
+
+
+def test_stored_codes(data, asked):
+    low, high = baselines.value_range(data).first()
+    for bits in (2, 4, 8):
+        table = baselines.sq_table(data, bits, low, high)
+        assert baselines.sq_scan(table, asked, bits).count() == 500 * 20
+        assert baselines.sq_topk(table, asked, bits, low, high, 3).count() == 60
+    books = baselines.pq_train(data, 8, 64, 32, 2)
+    table = baselines.pq_table(data, books)
+    decoded = baselines.pq_decode(baselines.pq_encode(data, books), books)
+    a, b = rows_of(baselines.pq_topk(table, asked, books, 5)), rows_of(search.exact_topk(decoded, asked, 5))
+    assert [r[3] for r in a] == pytest.approx([r[3] for r in b])
+    with pytest.raises(ValueError):
+        baselines.pq_table(data, np.zeros((8, 300, 8)))
 
 
 def test_fitted_codebook(data):
@@ -201,7 +252,9 @@ def test_sources(spark, tmp_path):
     x = np.random.default_rng(0).standard_normal((25, 8)).astype(np.float32)
     np.save(tmp_path / "a.npy", x[:10])
     np.save(tmp_path / "b.npy", x[10:])
-    got = sources.read_npy(spark, str(tmp_path)).orderBy("vec_id").collect()
+    got = sources.read_npy(spark, str(tmp_path), rows=4).orderBy("vec_id").collect()
+    assert sources.read_npy(spark, str(tmp_path), rows=4).rdd.getNumPartitions() == 7
+    assert rows_of(sources.read_npy(spark, str(tmp_path / "a.npy"))) == [tuple(r) for r in got[:10]]
     assert [r["vec_id"] for r in got] == list(range(25)) and np.array([r["embedding"] for r in got]).tolist() == x.tolist()
     g = sources.gaussian(spark, 2000, 8, 3)
     again = sources.gaussian(spark, 2000, 8, 3, 7)
