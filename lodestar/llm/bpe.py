@@ -14,6 +14,7 @@ import base64
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -49,20 +50,29 @@ class MergeTransducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.packed = {t: r.to_bytes(4, "little") for t, r in ranks.items()}
-        self.tokens = {t for t in ranks if len(t) == 1 or self.merged(t) == [t]}  # others never arise by merging
+        #: Of each token, the two that its last merge joins; None for a byte. Tokens that never arise by merging aren't here.
+        self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
+        for t in ranks:
+            if len(t) == 1:
+                self.parts[t] = None
+            elif len(two := self.merged(t, ranks[t])) == 2 and ranks.get(two[0] + two[1]) == ranks[t]:
+                self.parts[t] = two[0], two[1]
+        self.tokens = self.parts
+        #: Whether tokens come after those they are made of, as trained ones do.
+        self.in_order = all(p is None or max(ranks[p[0]], ranks[p[1]]) < ranks[t] for t, p in self.parts.items())
         self.starts = {t[:i] for t in self.tokens for i in range(1, len(t))}
         self._fits: dict[tuple[bytes, bytes], bool] = {}
         self._states: dict[tuple[bytes | None, bytes], _State] = {}
         self.start = _State(None, b"", [0], [0])
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The merges themselves, on a few bytes: the lowest rank first, the leftmost of equals."""
+    def merged(self, data: bytes, limit: int = 1 << 60) -> list[bytes]:
+        """The merges themselves, on a few bytes: the lowest rank first, the leftmost of equals; those below the limit."""
         rank, never = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
         found = [rank(data[i : i + 2], never) for i in range(len(data) - 1)]
         while found:
             low = min(found)
-            if low == never:
+            if low >= limit:
                 break
             i = found.index(low)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
@@ -79,9 +89,27 @@ class MergeTransducer:
         if known is None:
             if len(self._fits) > self.max_states * 4:
                 self._fits.clear()
-            known = self._fits[a, b] = self.merged(a + b) == [a, b]
+            known = self._fits[a, b] = self._apart(a, b) if self.in_order else self.merged(a + b) == [a, b]
         return known
 
+    def _apart(self, a: bytes, b: bytes) -> bool:
+        """Whether no merge ever crosses from a to b. The merges that made both are undone, the last first; at each time
+        the two tokens that meet there would have been joined if that merge came before the one that took either away (of
+        equal ranks the one further to the left comes first)."""
+        ranks, parts = self.ranks, self.parts
+        gone_a = gone_b = 1 << 60
+        while True:
+            both = ranks.get(a + b)
+            if both is not None and both < gone_a and both <= gone_b:
+                return False
+            made_a, made_b = parts[a], parts[b]
+            if made_a and (not made_b or ranks[a] > ranks[b]):
+                gone_a, a = ranks[a], made_a[1]
+            elif made_b:
+                gone_b, b = ranks[b], made_b[0]
+            else:
+                return True
+
     def _step(self, state: _State, byte: int) -> tuple[_State, bytes]:
         """Determinise one transition: the next state and the ids that go out, as little-endian 32-bit integers."""
         left, last, tokens, starts = state.left, state.last, self.tokens, self.starts
@@ -127,10 +155,11 @@ class MergeTransducer:
             self.start = _State(None, b"", [0], [0])
         state, out = self.start, []
         for byte in piece:
-            move = state.next.get(byte)
-            if move is None:
+            try:
+                state, ids = state.next[byte]
+            except KeyError:
                 move = state.next[byte] = self._step(state, byte)
-            state, ids = move
+                state, ids = move
             if ids:
                 out.append(ids)
         rest, j, pending = [], len(state.pending), state.pending
@@ -225,12 +254,22 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str) -> Codec:
-    """One for each Python worker. Its tables are long-lived and nearly free of cycles, so the collector is told to
-    look at them rarely: looking often took a quarter of the time."""
-    gc.set_threshold(1_000_000, 50, 100)
+    """One for each Python worker."""
     return Codec(read_ranks(ranks_path), pattern)
 
 
+@contextmanager
+def _rarely_collected() -> Iterator[None]:
+    """While a codec works. Its tables are long-lived and nearly free of cycles, and looking at them often took a quarter of
+    the time."""
+    was = gc.get_threshold()
+    gc.set_threshold(1_000_000, 50, 100)
+    try:
+        yield
+    finally:
+        gc.set_threshold(*was)
+
+
 def encode(documents: DataFrame, ranks_path: str, pattern: str, ids_name: str = "ids", decoded_name: str = "decoded") -> DataFrame:
     """Token ids of every whole text: the columns of documents and ``ids`` (array of int), ``decoded`` (string).
 
@@ -244,7 +283,10 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, ids_name: str =
     at = kept.index("text")
 
     def run(batches):
-        c = codec(ranks_path, pattern)
+        with _rarely_collected():
+            yield from encoded(codec(ranks_path, pattern), batches)
+
+    def encoded(c: Codec, batches):
         for batch in batches:
             ids = [np.frombuffer(c.encode(t.decode("utf-8", "replace")), "<u4") for t in binaries(batch.column(at))]
             texts = ["".join(c.decode_stream(x.tolist())) for x in ids]
@@ -262,7 +304,10 @@ def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     whole; rows alike in text have equal figures; an empty table gives no rows."""
 
     def run(batches):
-        c = codec(ranks_path, pattern)
+        with _rarely_collected():
+            yield from told(codec(ranks_path, pattern), batches)
+
+    def told(c: Codec, batches):
         for batch in batches:
             n, a, b = [], [], []
             for text in binaries(batch.column(1)):

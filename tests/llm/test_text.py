@@ -102,6 +102,21 @@ def test_bpe_matches_the_library(documents):
     assert bpe.digests(documents([]), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_tokens_that_fit_by_undoing_merges():
+    machine = bpe.MergeTransducer(bpe.read_ranks(RANKS))
+    assert machine.in_order and len(machine.parts) > 50_000
+    r = random.Random(2)
+    tokens = sorted(machine.parts)
+    pairs = [(r.choice(tokens), r.choice(tokens)) for _ in range(20_000)] + [(t, t) for t in r.sample(tokens, 2000)]
+    words = [t for t in tokens if t.isalpha()]
+    for _ in range(20_000):  # pieces of one token, which are often joined again
+        t = r.choice(words)
+        k = r.randint(0, len(t) - 1)
+        pairs += [(t[:k], t[k:])] if k and t[:k] in machine.parts and t[k:] in machine.parts else []
+    found = [machine._apart(a, b) for a, b in pairs]
+    assert found == [machine.merged(a + b) == [a, b] for a, b in pairs] and 0 < sum(found) < len(found)
+
+
 def test_transducer_starts_afresh():
     small = bpe.MergeTransducer(bpe.read_ranks(RANKS), max_states=50)
     other = reference()
