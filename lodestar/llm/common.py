@@ -1,14 +1,9 @@
-"""What the operators of this package share: reading columns, shared folders, Arrow helpers."""
+"""What the operators of this package share: reading columns, slices of batches, Arrow helpers."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import hashlib
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,42 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.scratch import forget, written  # noqa: F401  the operators of this package take them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark (so any file system will do)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset, a temporary folder will do
-    if all runs in one process, as in tests; on a cluster that is an error, as one machine's folder would lose rows."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may have ended before the interpreter does
-        pass
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import written
+from lodestar.llm.common import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
         links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "links",
     )
-    label = written(
+    stored = label = written(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")),
         "labels",
     )
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
         moved = written(
             pointed.join(over, "via").select("node", "was", F.least("via", "beyond").alias("component")), "labels"
         )
-        label = moved.select("node", "component")
+        forget(stored)
+        stored, label = moved, moved.select("node", "component")
         if moved.where("was <> component").isEmpty():
             return label
 
@@ -42,10 +43,12 @@ def components(links: DataFrame) -> DataFrame:
 def roots(pointers: DataFrame) -> DataFrame:
     """pointers(node long, parent long), each node with one parent and none its own ancestor -> node, component: where
     following the parents ends. Roots aren't among the nodes."""
-    label = written(pointers.select("node", F.col("parent").alias("component")), "labels")
+    stored = label = written(pointers.select("node", F.col("parent").alias("component")), "labels")
     while True:
         over = label.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
         moved = written(label.join(over, "component", "left"), "labels")
+        forget(stored)
+        stored = moved
         label = moved.select("node", F.coalesce("beyond", "component").alias("component"))
         if moved.where("beyond is not null").isEmpty():
             return label

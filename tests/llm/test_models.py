@@ -1,6 +1,9 @@
 """Classifiers, URL rules, media."""
 
+import itertools
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -98,11 +101,36 @@ def test_url_rules_are_mined(spark):
     bad = url_filter.label_pages(pages, labels)
     assert bad.count() == 150
     rules = url_filter.mine(bad)
-    assert rules and all(any(t in ("part=cheap", "part=bets", "host=cheap-bets") for t in r) for r in rules)
+    sets = [r for rs in rules.index.values() for r in rs]
+    assert sets and all(any(t in ("part=cheap", "part=bets", "host=cheap-bets") for t in r) for r in sets)
     out = url_filter.judge(pages, labels).collect()
     assert all((r["verdict"] == "block") == (r["page_id"] % 3 == 0) and r["rule"] is None for r in out)
-    index = url_filter.MinedRules([("a", "b"), ("c",)])
-    assert index(["a", "b", "x"]) and index(["c"]) and not index(["a", "x"]) and not index([])
+    index = url_filter.MinedRules([("a", "b"), ("c",)], {"z": "c"})
+    assert index(["a", "b", "x"]) and index(["c"]) and index(["z"]) and not index(["a", "x"]) and not index([])
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_mined_rules_against_all_token_sets(spark, seed):
+    r = random.Random(seed)
+    hosts = ["a-b.x.com", "a-c.x.com", "d.y.org", "d-b.z.net", "e.x.com"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice('pqr')}/{r.choice('st')}.{r.choice(['htm', 'php'])}?{r.choice('uv')}=1" for _ in range(200)]
+    bad = [("a-" in u and "/p/" in u and r.random() < 0.9) or r.random() < 0.15 for u in urls]
+    urls += ["http://" + "long." * 3000 + "com/p/", "", "no"]
+    bad += [True, False, True]
+    mined = url_filter.mine(spark.createDataFrame(list(zip(urls, bad, strict=True)), "url string, bad boolean"), 0.03, 5, 0.6)
+    baskets = [frozenset(url_filter.tokens(u)) for u in urls]
+    counts = Counter()
+    for basket, b in zip(baskets, bad, strict=True):
+        for k in (1, 2, 3):
+            for part in itertools.combinations(sorted(basket), k):
+                counts[part] += 1
+                counts[part, "bad"] += b
+    least = max(5, 0.03 * len(urls))
+    sure = {p: counts[p, "bad"] / n for p, n in counts.items() if p[-1] != "bad" and counts[p, "bad"] >= least and counts[p, "bad"] >= 0.6 * n}
+    rules = [set(p) for p in sure if not any(sure.get(q, -1) >= sure[p] for k in range(1, len(p)) for q in itertools.combinations(p, k))]
+    assert rules
+    for basket in baskets:
+        assert mined(sorted(basket)) == any(rule <= basket for rule in rules)
 
 
 def turned(image, degrees):
