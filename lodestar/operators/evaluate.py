@@ -1,10 +1,15 @@
-"""Recall of a ranking against the exact one."""
+"""Recall of a ranking against the exact one; latency and memory of searches."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import os
+import re
+import time
+from collections.abc import Callable, Sequence
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KS = (1, 2, 4, 8, 16, 32, 64)
@@ -50,6 +55,49 @@ def summary(methods: dict[str, DataFrame], truth: DataFrame, ks: Sequence[int] =
 
 def report(results: DataFrame) -> str:
     """A Markdown table of a summary: a row for each method and k."""
-    rows = [results.columns, ["---"] * len(results.columns)]
-    rows += [[f"{x:.1f}" if isinstance(x, float) else str(x) for x in r] for r in results.orderBy("method", "k").collect()]
-    return "\n".join("| " + " | ".join(r) + " |" for r in rows) + "\n"
+    return markdown(results.columns, [tuple(r) for r in results.orderBy("method", "k").collect()])
+
+
+def markdown(columns: Sequence[str], rows: Sequence[Sequence]) -> str:
+    lines = [columns, ["---"] * len(columns), *([f"{x:.1f}" if isinstance(x, float) else str(x) for x in r] for r in rows)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
+
+
+def timed(searches: dict[str, Callable[[], DataFrame]], queries: int, runs: int = 2) -> dict[str, float]:
+    """Milliseconds a query of each search, results fetched: the best of some runs after one to warm up."""
+    out = {}
+    for name, find in searches.items():
+        best = math.inf
+        for run in range(1 + runs):
+            began = time.perf_counter()
+            find().toArrow()
+            took = time.perf_counter() - began
+            best = min(best, took) if run else best
+        out[name] = 1000 * best / queries
+    return out
+
+
+def speed_report(ms: dict[str, float], baseline: str) -> str:
+    """A Markdown table: latency, queries a second, and how much faster than the baseline."""
+    rows = [(name, x, 1000 / x, ms[baseline] / x) for name, x in ms.items()]
+    return markdown(["method", "ms a query", "QPS", "speed-up"], rows)
+
+
+def peak_memory(spark: SparkSession) -> dict[str, int]:
+    """The most memory (MB) that the driver's Python, its JVM, and the JVM's Python workers have held; on Linux. With a
+    master of ``local`` these are all there are."""
+    jvm = spark._jvm.java.lang.ProcessHandle.current()
+    below = [x.pid() for x in jvm.descendants().toArray()]
+    return {
+        "driver_mb": _peak(os.getpid()),
+        "jvm_mb": _peak(jvm.pid()),
+        "workers_mb": sum(_peak(pid) for pid in below if pid != os.getpid()),
+    }
+
+
+def _peak(pid: int) -> int:
+    try:
+        found = re.search(r"VmHWM:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())
+    except OSError:  # ended meanwhile
+        return 0
+    return int(found[1]) // 1024 if found else 0

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read it back, so that a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = weakref.ref(out), path
+    return out
+
+
+_paths: dict[int, tuple] = {}
+
+
+def forget(df: DataFrame) -> None:
+    """Remove what ``written`` wrote for this DataFrame, when nothing reads it any more."""
+    found = _paths.pop(id(df), None)
+    if found and found[0]() is df:
+        _drop(df.sparkSession, found[1])
 
 
 def _drop(spark: SparkSession, path: str) -> None:
