@@ -15,8 +15,20 @@ from pyspark.sql import functions as F
 from lodestar.sources.scratch import forget, written  # noqa: F401  the operators of this package take them from here
 
 
+#: Rows that go to Python at once, at most. Rows have whole texts here, so Spark's 10,000 are too many.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand rows to Python in batches of BATCH_ROWS at most; for applications, before they use the operators."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark (so any file system will do)."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,7 +53,7 @@ def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 #: What a task works on at once: so many rows, and so many bytes of text unless one row has more.
-SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 1000, 2 << 20
 
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,12 @@
 
 Each image gives corners at several scales; around each, the direction of the intensity's centroid turns a fixed set of
 brightness comparisons into a 256-bit descriptor that keeps still under rotation. Descriptors meet in hash tables, each on
-some of their bits (two that differ in few bits agree in some table); images with enough meetings have their descriptors
-compared, pairs within the Hamming distance vote, and images match if enough of these pairs, and more than by chance,
-agree on one similarity transform.
+some of their bits (two that differ in few bits agree in some table); those that meet within the Hamming distance vote, and
+images match if enough of their votes, and more than by chance, agree on one similarity transform.
+
+The queries go in blocks of a bounded number of descriptors. Each task makes the tables of a block and streams its images
+past them, so neither descriptors nor table entries are shuffled, and a descriptor that many images have is many rows of
+many tasks, not one task's.
 """
 
 from __future__ import annotations
@@ -19,24 +22,26 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import binaries, in_slices, lists, mix, row_keys, written
 
-BITS, TABLES, KEY_BITS = 256, 28, 24
+BITS, TABLES, KEY_BITS = 256, 24, 32
 #: The least strength of a corner: some ten times what noise of a deviation of two grey values gives. All corners above it
 #: are described, so there are more the larger an image is. Of corners within RIVALS pixels, the strongest counts.
-STRENGTH, RIVALS = 5.0, 2
+STRENGTH, RIVALS = 5.0, 4
 SCALES = (1.0, 1.26, 1.59, 2.0)
-PATCH = 9
+PATCH = 12
 #: Two descriptors match up to this Hamming distance; two images from this many agreeing matches.
-DISTANCE, AGREE = 32, 4
+DISTANCE, AGREE = 36, 4
 #: More matches agree by chance the more there are: an unrelated pair may be linked with this probability at most.
 CHANCE = 0.01
-#: Bits of the filter that says which keys the queries have: 16 MB, however many queries there are.
-FILTER_BITS = 27
-#: Corners described at once; transforms tried at once.
-_CORNERS, _TRIALS = 2000, 128
+#: Descriptors of queries in a block; more of them make more passes over the index.
+BLOCK = 1 << 17
+#: Corners described at once; transforms tried at once; meetings looked at once.
+_CORNERS, _TRIALS, _MEETINGS = 2000, 128, 1 << 20
 
 _RNG = np.random.default_rng(20)
 _PAIRS = np.clip(np.round(_RNG.normal(0, PATCH / 2.5, (BITS, 4))), -PATCH, PATCH)
-_TABLE_BITS = np.stack([_RNG.choice(BITS, KEY_BITS, replace=False) for _ in range(TABLES)])
+#: For each table, which bits count, and an odd multiplier for each of the four words.
+_MASKS = np.stack([np.packbits(np.isin(np.arange(BITS), _RNG.choice(BITS, KEY_BITS, replace=False))).view(np.uint64) for _ in range(TABLES)])
+_ODD = _RNG.integers(0, 1 << 63, (TABLES, BITS // 64), np.uint64) * np.uint64(2) + np.uint64(1)
 _SPAN = np.arange(-PATCH, PATCH + 1)
 _DISC = (_SPAN[:, None] ** 2 + _SPAN**2 <= (PATCH + 0.5) ** 2).astype(float)
 
@@ -169,57 +174,49 @@ def descriptors(images: DataFrame) -> DataFrame:
     return rows.where("image_id is not null and media is not null").mapInArrow(in_slices(_describe, 1), _DESCRIBED)
 
 
-def _table_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """image_id and slot of each descriptor of a batch(image_id, bits), and its key in each of the tables."""
-    data = batch.column(1).to_pylist()
-    n = np.array([len(x) // (BITS // 8) for x in data], int)
-    b = np.unpackbits(np.frombuffer(b"".join(data), np.uint8).reshape(-1, BITS // 8), axis=1)
-    keys = np.empty((len(b), TABLES), np.int64)
-    weights = 1 << np.arange(KEY_BITS, dtype=np.int32)
-    for t, chosen in enumerate(_TABLE_BITS):
-        keys[:, t] = b[:, chosen] @ weights + (t << KEY_BITS)
-    slots = np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(batch.column(0).to_numpy(), n), slots, keys
-
-
-def _place_in_filter(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _filter_words(batches):
-    for batch in batches:
-        at = np.unique(_place_in_filter(_table_keys(batch)[2].ravel()))
-        words, first = np.unique(at >> 6, return_index=True)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-
-def key_filter(described: DataFrame) -> np.ndarray:
-    """A bit for each value of a hash of the keys, set if some descriptor has such a key. Its size is fixed, so it may be
-    sent to all tasks; with more keys it holds back less."""
-    words = described.select("image_id", "bits").mapInArrow(in_slices(_filter_words, 1), "word long, bits long")
-    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-    return out
-
-
-def entries(described: DataFrame, wanted=None) -> DataFrame:
-    """key, image_id, slot: where each descriptor stands in each of the tables; those that a broadcast filter lets pass."""
-
-    def run(batches):
-        for batch in batches:
-            ids, slots, keys = _table_keys(batch)
-            row = np.repeat(np.arange(len(ids)), TABLES)
-            keys = keys.ravel()
-            if wanted is not None:
-                at = _place_in_filter(keys)
-                found = (wanted.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
-                keys, row = keys[found], row[found]
-            columns = [pa.array(keys), pa.array(ids[row]), pa.array(slots[row].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "image_id", "slot"])
-
-    return described.select("image_id", "bits").mapInArrow(in_slices(run, 1), "key long, image_id long, slot int")
+def table_keys(words: np.ndarray, table: int) -> np.ndarray:
+    """A hash of those bits of each descriptor (rows of four words) that a table looks at."""
+    return mix(((words & _MASKS[table]) * _ODD[table]).sum(1, dtype=np.uint64))
+
+
+class Tables:
+    """The Hamming tables of a block of query descriptors: for each table the keys in order, whose they are, and a bit for
+    each value of their upper bits, so that most keys that aren't there are known at once."""
+
+    UPPER = 22
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.tables = []
+        for t in range(TABLES):
+            keys = table_keys(words, t)
+            order = np.argsort(keys, kind="stable")
+            there = np.zeros(1 << (self.UPPER - 6), np.uint64)
+            at = keys >> np.uint64(64 - self.UPPER)
+            np.bitwise_or.at(there, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            self.tables.append((keys[order], order, there))
+
+    def near(self, words: np.ndarray, distance: int) -> np.ndarray:
+        """Pairs (number of a query descriptor, row of ``words``) that meet in a table and are within the distance, once each."""
+        found = [np.zeros((0, 2), np.int64)]
+        for t, (ordered, order, there) in enumerate(self.tables):
+            keys = table_keys(words, t)
+            at = keys >> np.uint64(64 - self.UPPER)
+            rows = np.flatnonzero((there[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+            first = np.searchsorted(ordered, keys[rows], "left")
+            n = np.searchsorted(ordered, keys[rows], "right") - first
+            rows, first, n = rows[n > 0], first[n > 0], n[n > 0]
+            done = np.cumsum(n)
+            begin = 0
+            while begin < len(rows):  # a part of the rows, so that meetings at once are bounded
+                end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + _MEETINGS, "right")))
+                k = n[begin:end]
+                inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                mine, theirs = np.repeat(rows[begin:end], k), order[np.repeat(first[begin:end], k) + inside]
+                close = np.bitwise_count(self.words[theirs] ^ words[mine]).sum(1) <= distance
+                found.append(np.stack([theirs[close], mine[close]], 1))
+                begin = end
+        return np.unique(np.concatenate(found), axis=0)
 
 
 def _distinct(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,12 +275,9 @@ def by_chance(matches: np.ndarray) -> int:
     return n  # and the match that gave the transform agrees with itself
 
 
-def matched(one: tuple, two: tuple, pairs: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """Of the pairs (slot of one, slot of two) those within the Hamming distance: their places side by side."""
-    (places_1, bits_1), (places_2, bits_2) = one, two
-    apart = np.bitwise_count(bits_1[pairs[:, 0]] ^ bits_2[pairs[:, 1]]).sum(1)
-    near = pairs[apart <= distance]
-    return np.unique(np.concatenate([places_1[near[:, 0]], places_2[near[:, 1]]], 1), axis=0)
+def matched(places_1: np.ndarray, places_2: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The places of pairs (row of one, row of the other) side by side, equal ones once."""
+    return np.unique(np.concatenate([places_1[pairs[:, 0]], places_2[pairs[:, 1]]], 1), axis=0)
 
 
 def agreed(matches: np.ndarray, agree: int = AGREE) -> int:
@@ -292,28 +286,71 @@ def agreed(matches: np.ndarray, agree: int = AGREE) -> int:
     return n if n >= agree and n > by_chance(matches) else 0
 
 
-def _consent(distance: int, agree: int):
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch(image_id, places, bits): ids, and for each descriptor the row it is of, its place, its words."""
+    places = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4).astype(np.float64)
+    data = batch.column(2).to_pylist()
+    words = np.frombuffer(b"".join(data), np.uint64).reshape(-1, BITS // 64)
+    of = np.repeat(np.arange(len(data)), [len(x) // (BITS // 8) for x in data])
+    return batch.column(0).to_numpy(), of, places, words
+
+
+_made: dict[tuple, Tables] = {}
+
+
+def _tables(block) -> Tables:
+    """Made once in each Python worker; only the last is kept."""
+    key = (block.id if hasattr(block, "id") else id(block), getattr(block, "_path", None))
+    if key not in _made:
+        _made.clear()
+        _made[key] = Tables(block.value[3])
+    return _made[key]
+
+
+def _join(block, distance: int, agree: int):
     def run(batches):
+        tables = _tables(block)
+        asked, asked_of, asked_places, _ = block.value
         for batch in batches:
+            ids, of, places, words = _arrays(batch)
+            pairs = tables.near(words, distance)
+            unit = of[pairs[:, 1]] * len(asked) + asked_of[pairs[:, 0]]  # a unit for each query and image
+            order = np.argsort(unit, kind="stable")
+            pairs, unit = pairs[order], unit[order]
+            edges = np.append(np.flatnonzero(np.diff(unit, prepend=-1)), len(unit))
             out = []
-            sides = []
-            for at in (2, 4):
-                ends, places = lists(batch.column(at))
-                places = places.to_numpy(zero_copy_only=False).astype(np.float64)
-                sides.append((ends, places, binaries(batch.column(at + 1))))
-            ends, met = lists(batch.column(6))
-            slots = np.stack([x.to_numpy(zero_copy_only=False) for x in met.flatten()], 1)
-            for k, (query, image) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)):
-                one, two = (
-                    (p[e[k] : e[k + 1]].reshape(-1, 4), np.frombuffer(b[k], np.uint64).reshape(-1, BITS // 64)) for e, p, b in sides
-                )
-                n = agreed(matched(one, two, slots[ends[k] : ends[k + 1]], distance), agree)
-                if n:
-                    out.append((query, image, n))
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b - a >= agree:
+                    n = agreed(matched(asked_places, places, pairs[a:b]), agree)
+                    if n:
+                        image, query = divmod(int(unit[a]), len(asked))
+                        out.append((asked[query], ids[image], n))
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "image_id", "agreeing"])
 
-    return in_slices(run, 5)
+    return in_slices(run, 2)
+
+
+def links_between(asked: DataFrame, index: DataFrame, distance: int, agree: int, block: int = BLOCK) -> DataFrame:
+    """query_id, image_id, agreeing of two tables of descriptors: a pass over the index for each block of queries. What a pass
+    finds is written, and its block goes from the executors."""
+    spark = index.sparkSession
+    total = asked.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0] // (BITS // 8)
+    parts = 1 + total // block
+    part = F.pmod(F.xxhash64("image_id", "bits"), F.lit(parts))
+    found = None
+    for k in range(parts):
+        got = asked.where(part == k).select("image_id", "places", "bits").toArrow().combine_chunks()
+        if not got.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast(_arrays(got.to_batches()[0]))
+        links = index.mapInArrow(_join(sent, distance, agree), "query_id long, image_id long, agreeing long")
+        links = written(links, "links")
+        sent.unpersist()
+        found = links if found is None else found.unionByName(links)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, image_id long, agreeing long")
+    return found.groupBy("query_id", "image_id").agg(F.max("agreeing").alias("agreeing"))
 
 
 def find_copies(queries: DataFrame, images: DataFrame, distance: int = DISTANCE, agree: int = AGREE) -> DataFrame:
@@ -325,32 +362,18 @@ def find_copies(queries: DataFrame, images: DataFrame, distance: int = DISTANCE,
     Null ids and media, other formats, and images too small or too even to have corners link to nothing. Rows alike in
     image_id and media count once; of one image_id with several media, each is asked and found. Every class is in the
     index with all its corners, images of any size. An empty table on either side gives no links.
-
-    Only the keys of the tables move at first; index entries whose key no query has are held back by a filter of fixed size.
-    Descriptors move for the pairs of images that meet ``agree`` times or more, as fewer can't agree.
     """
     image_id, media = F.col("image_id").cast("long"), F.col("media").cast("binary")
     key = ["k1", "k2"]
-    ids = images.where("image_id is not null and media is not null")
-    ids = ids.select(image_id.alias("image_id"), *row_keys(F.lit(0), media)).distinct()
-    ids = written(ids, "media-ids")
+    whole = images.select(image_id.alias("image_id"), media.alias("media")).where("image_id is not null and media is not null")
+    whole = whole.withColumns(dict(zip(key, row_keys(F.lit(0), F.col("media")), strict=True)))
+    ids = written(whole.select("image_id", *key).distinct(), "media-ids")
     classes = written(ids.groupBy(*key).agg(F.min("image_id").alias("class_id"), F.count("*").alias("n")), "classes")
     others = ids.join(classes.where("n > 1"), key).where("image_id <> class_id").select("image_id", *key)
-    whole = images.select(image_id.alias("image_id"), media.alias("media")).where("image_id is not null and media is not null")
-    heads = whole.withColumns(dict(zip(key, row_keys(F.lit(0), F.col("media")), strict=True)))
-    heads = heads.join(written(others, "copies"), ["image_id", *key], "left_anti")
-    index = written(descriptors(heads).dropDuplicates(["image_id", "bits"]), "index")
+    heads = whole.join(written(others, "copies"), ["image_id", *key], "left_anti")
+    index = written(descriptors(heads), "index")
     asked = written(descriptors(queries).dropDuplicates(["image_id", "bits"]), "asked")
-    wanted = images.sparkSession.sparkContext.broadcast(key_filter(asked))
-    one = entries(asked).select("key", F.col("image_id").alias("query_id"), F.col("slot").alias("a"))
-    two = entries(index, wanted).select("key", "image_id", F.col("slot").alias("b"))
-    met = one.join(two, "key").groupBy("query_id", "image_id").agg(F.collect_set(F.struct("a", "b")).alias("met"))
-    met = written(met.where(F.size("met") >= agree), "met")
-    left = asked.toDF("query_id", "query_places", "query_bits")
-    both = met.join(left, "query_id").join(index, "image_id")
-    both = both.select("query_id", "image_id", "query_places", "query_bits", "places", "bits", "met")
-    links = both.mapInArrow(_consent(distance, agree), "query_id long, image_id long, agreeing long")
-    links = links.groupBy("query_id", "image_id").agg(F.max("agreeing").alias("agreeing"))
+    links = links_between(asked, index, distance, agree)
     links = links.select("query_id", "image_id", F.col("image_id").alias("class_id"), "agreeing")
     nothing = F.lit(None).cast("long")
     members = ids.join(classes.where("n > 1"), key).select(
@@ -362,14 +385,24 @@ def find_copies(queries: DataFrame, images: DataFrame, distance: int = DISTANCE,
 # --- images for the query: no table has any, so embeddings are drawn
 
 
+SIZE = 96
+#: Rounds of smoothing of the patterns that a picture is made of: structure of several sizes.
+_COARSE = (4, 16, 64)
+
+
 @lru_cache(maxsize=4)
 def _patterns(dim: int, size: int) -> np.ndarray:
     """A fixed smooth random pattern for each coordinate."""
     rng = np.random.default_rng(dim)
-    return np.stack([_smooth(rng.standard_normal((size, size)), 8) for _ in range(dim)]).reshape(dim, -1)
+    out = np.zeros((dim, size, size), np.float32)
+    for i in range(dim):
+        for rounds in _COARSE:
+            x = _smooth(rng.standard_normal((size, size)), rounds)
+            out[i] += x / x.std()
+    return out.reshape(dim, -1)
 
 
-def draw(vector: np.ndarray, size: int = 64) -> np.ndarray:
+def draw(vector: np.ndarray, size: int = SIZE) -> np.ndarray:
     """A grey picture of a vector: the sum of the patterns of its coordinates, each as strong as the coordinate."""
     picture = (vector @ _patterns(len(vector), size)).reshape(size, size)
     return np.clip(128 + 50 * picture / (float(picture.std()) or 1.0), 0, 255)
