@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, decontaminate, minhash, quality, suffix_dedup
-from lodestar.llm.common import fresh, table, written
+from lodestar.llm.common import fresh, small_batches, table, written
 from lodestar.llm.entries import RANKS
 
 
@@ -22,11 +22,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least doc_id stays."""
+    small_batches(spark)
     return minhash.one_of_each(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in 200-byte strings that are there again go; n_chars follows the text."""
+    small_batches(spark)
     return suffix_dedup.without_repeats(docs)
 
 
@@ -38,6 +40,7 @@ def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left; a text that they don't decode to is an error. ``ids`` and ``n_tokens`` of the input, if there
     are such columns, are replaced."""
+    small_batches(spark)
     ids, decoded = fresh(docs, "ids"), fresh(docs, "decoded")
     out = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids, decoded)
     same = F.col(decoded) == F.coalesce("text", F.lit(""))
