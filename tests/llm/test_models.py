@@ -37,6 +37,37 @@ def test_trees_learn_and_flatten():
     assert gbt.fit(np.ones((9, 3)), np.ones(9)).probability(np.ones((1, 3)))[0] > 0.9
 
 
+def test_splits_against_all_cuts():
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        x = np.round(rng.standard_normal((300, 4)), 1).astype(np.float32)
+        y = (x[:, 2] + 0.5 * rng.standard_normal(300) > 0.2).astype(float)
+        forest = gbt.fit(x, y, trees=1, depth=1, rate=1.0, bins=64, least=20, ridge=1.0)
+        p = (y.sum() + 0.5) / 301
+        slope, curve = p - y, np.full(300, p * (1 - p))
+        best = (-1.0, None, None, None)
+        for f in range(4):
+            cuts = np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1]))
+            for cut in cuts:
+                low = x[:, f] <= cut
+                if low.sum() >= 20 and (~low).sum() >= 20:
+                    gain = sum(slope[m].sum() ** 2 / (curve[m].sum() + 1) for m in (low, ~low))
+                    if gain > best[0] + 1e-9:
+                        best = gain, f, cut, [-slope[m].sum() / (curve[m].sum() + 1) for m in (low, ~low)]
+        root = forest.roots[0]
+        assert forest.feature[root] == best[1] and forest.threshold[root] == pytest.approx(best[2])
+        assert forest.value[forest.left[root] : forest.left[root] + 2] == pytest.approx(best[3])
+
+
+def test_isotonic_against_the_formula():
+    rng = np.random.default_rng(4)
+    score = np.sort(rng.random(60))
+    y = (rng.random(60) < score).astype(float)
+    step = gbt.isotonic(score, y, tilt=0)
+    want = [max(min(y[j : k + 1].mean() for k in range(i, 60)) for j in range(i + 1)) for i in range(60)]
+    assert step(score) == pytest.approx(want)
+
+
 def test_isotonic():
     step = gbt.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1.0]), tilt=0)
     assert step(np.array([0.1, 0.2, 0.3, 0.4, 0.9])).tolist() == [0, 0.5, 0.5, 1, 1]

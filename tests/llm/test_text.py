@@ -170,6 +170,41 @@ def test_shards_of_many_parts_with_a_heavy_group(documents, monkeypatch):
         assert max(sizes.values()) - min(sizes.values()) <= 0.001 * light
 
 
+def plain_differencing(sizes, k):
+    """The shard of each size; partial partitions in a plain list."""
+    parts = [(i, [(n, [i])] + [(0, [])] * (k - 1)) for i, n in enumerate(sizes)]
+    fresh = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (min(b[0] for b in p[1]) - max(b[0] for b in p[1]), p[0]))
+        (_, a), (_, b) = parts[:2]
+        a, b = sorted(a, key=lambda x: -x[0]), sorted(b, key=lambda x: x[0])
+        parts = [*parts[2:], (fresh, [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, b, strict=True)])]
+        fresh += 1
+    return parts[0][1] if parts else []
+
+
+def test_shards_against_plain_differencing(documents):
+    r = random.Random(6)
+    rows = [(i, r.choice("abc") * r.randint(0, 60)) for i in range(150)] + [(200 + i, "heavy" * 300) for i in range(4)]
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len(t) + 1
+    sizes = sorted(groups.values(), reverse=True)
+    for k in (2, 8):
+        want = sorted(n for n, _ in plain_differencing(sizes, k))
+        got = Counter({i: 0 for i in range(k)})
+        for x in shard.shard(documents(rows), k).collect():
+            got[x["shard"]] += x["size"]
+        assert sorted(got.values()) == want
+    numbers = [r.randint(1, 50) for _ in range(40)]
+    for k in (2, 3, 8):
+        bins = [b[0] for b in shard.differencing([[n] + [0] * (k - 1) for n in numbers], k)]
+        sums = Counter({i: 0 for i in range(k)})
+        for n, b in zip(numbers, bins, strict=True):
+            sums[b] += n
+        assert sorted(sums.values()) == sorted(n for n, _ in plain_differencing(numbers, k))
+
+
 def test_differencing():
     numbers = [8, 7, 6, 5, 4]
     bins = [b[0] for b in shard.differencing([[n, 0] for n in numbers], 2)]
