@@ -82,8 +82,9 @@ def substring_dedup(documents: DataFrame, with_text: bool = False) -> DataFrame:
 
     documents(doc_id, text); further columns are ignored. A row for each row given: doc_id, n_words, n_removed,
     kept_sha256 (of the kept words joined by one space), and with ``with_text`` those kept words as ``text``. Windows are
-    judged on the input. Null and empty texts have no words. A null doc_id is larger than all others, and rows with one
-    doc_id are not smaller than each other. Words are compared by 64-bit hashes.
+    judged on the input. Null and empty texts have no words; texts of any length are treated whole. A null doc_id is
+    larger than all others, and rows with one doc_id, or alike in all, are not smaller than each other. An empty table
+    gives no rows. Words are compared by 64-bit hashes, equal contexts of an anchor by 128 bits.
     """
 
     def run(batches):

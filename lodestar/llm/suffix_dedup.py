@@ -143,7 +143,11 @@ def suffix_dedup(documents: DataFrame, with_text: bool = False) -> DataFrame:
     documents(doc_id, text); further columns are ignored. A row for each row given: doc_id, n_bytes, n_removed, n_spans
     (maximal removed runs), kept_sha256 (of the remaining bytes), and with ``with_text`` what remains as ``text``, without
     the bytes of characters that a removed run cuts through. Strings are judged on the input; overlaps count. Null and
-    empty texts have no bytes. Rows alike in doc_id and text are repeats of each other.
+    empty texts have no bytes; texts of any length are treated whole. Rows alike in doc_id and text are repeats of each
+    other, and a null doc_id is no key: rows are told apart by 128 bits of doc_id and text. An empty table gives no rows.
+
+    Places whose contexts are equal, by hash of anchor and context (128 bits together), are removed without comparing
+    bytes; the suffix arrays decide between contexts of an anchor that differ.
     """
 
     def run(batches):
@@ -169,8 +173,9 @@ def suffix_dedup(documents: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """The rows of documents with what remains of their texts, other columns as they came; ``n_chars``, if there is such a
-    column, is counted anew. A row stays, with an empty text, if nothing remains. Null texts stay null."""
+    """The rows of documents with what remains of their texts, other columns as they came, whatever their names; ``n_chars``,
+    if there is such a column, is counted anew. A row stays, with an empty text, if nothing remains. Null texts stay null;
+    the rest is as for ``suffix_dedup``."""
     others = [c for c in documents.columns if c != "text"]
     k1, k2, spans_ = (fresh(documents, name) for name in ("repeat_k1", "repeat_k2", "repeat_spans"))
     found = repeats(documents, KIND).toDF(k1, k2, spans_)
