@@ -30,6 +30,8 @@ SCALES = (1.0, 1.26, 1.59, 2.0)
 PATCH = 12
 #: Two descriptors match up to this Hamming distance; two images from this many agreeing matches.
 DISTANCE, AGREE = 36, 4
+#: Matches that agree on a transform turn by the same angle, give or take this.
+TURN = 0.5
 #: More matches agree by chance the more there are: an unrelated pair may be linked with this probability at most.
 CHANCE = 0.01
 #: Descriptors of queries in a block; more of them make more passes over the index.
@@ -180,8 +182,8 @@ def table_keys(words: np.ndarray, table: int) -> np.ndarray:
 
 
 class Tables:
-    """The Hamming tables of a block of query descriptors: for each table the keys in order, whose they are, and a bit for
-    each value of their upper bits, so that most keys that aren't there are known at once."""
+    """The Hamming tables of a block of query descriptors: for each table the different keys in order, where the descriptors of
+    each stand, and a bit for each value of the keys' upper bits, so that most that aren't there are known at once."""
 
     UPPER = 22
 
@@ -194,18 +196,18 @@ class Tables:
             there = np.zeros(1 << (self.UPPER - 6), np.uint64)
             at = keys >> np.uint64(64 - self.UPPER)
             np.bitwise_or.at(there, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-            self.tables.append((keys[order], order, there))
+            self.tables.append((*np.unique(keys[order], return_index=True, return_counts=True), order, there))
 
     def near(self, words: np.ndarray, distance: int) -> np.ndarray:
         """Pairs (number of a query descriptor, row of ``words``) that meet in a table and are within the distance, once each."""
-        found = [np.zeros((0, 2), np.int64)]
-        for t, (ordered, order, there) in enumerate(self.tables):
+        found = [np.zeros(0, np.int64)]
+        for t, (ordered, starts, times, order, there) in enumerate(self.tables):
             keys = table_keys(words, t)
             at = keys >> np.uint64(64 - self.UPPER)
             rows = np.flatnonzero((there[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
-            first = np.searchsorted(ordered, keys[rows], "left")
-            n = np.searchsorted(ordered, keys[rows], "right") - first
-            rows, first, n = rows[n > 0], first[n > 0], n[n > 0]
+            at = np.minimum(np.searchsorted(ordered, keys[rows]), max(0, len(ordered) - 1))
+            met = ordered[at] == keys[rows] if len(ordered) else np.zeros(0, bool)
+            rows, first, n = rows[met], starts[at[met]], times[at[met]]
             done = np.cumsum(n)
             begin = 0
             while begin < len(rows):  # a part of the rows, so that meetings at once are bounded
@@ -214,9 +216,9 @@ class Tables:
                 inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 mine, theirs = np.repeat(rows[begin:end], k), order[np.repeat(first[begin:end], k) + inside]
                 close = np.bitwise_count(self.words[theirs] ^ words[mine]).sum(1) <= distance
-                found.append(np.stack([theirs[close], mine[close]], 1))
+                found.append(theirs[close] * len(words) + mine[close])
                 begin = end
-        return np.unique(np.concatenate(found), axis=0)
+        return np.stack(np.divmod(np.unique(np.concatenate(found)), max(1, len(words))), 1)
 
 
 def _distinct(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +230,8 @@ def _distinct(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def agreeing(matches: np.ndarray) -> int:
     """How many of the matches (x, y, scale, angle of one side, then of the other) agree on one similarity transform: the
-    most that any single match's own transform brings near to their places, those at the same place counted once."""
+    most that any single match's own transform brings near to their places and turns alike, those at the same place
+    counted once."""
     a, b = matches[:, :4], matches[:, 4:]
     factor, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
     reach = _reach(b)
@@ -239,10 +242,11 @@ def agreeing(matches: np.ndarray) -> int:
         dx, dy = (a[None, :, k] - a[own, None, k] for k in (0, 1))
         co, si = np.cos(turn[own])[:, None], np.sin(turn[own])[:, None]
         along, across = co * dx - si * dy, si * dx + co * dy
+        alike = np.cos(turn[own, None] - turn[None]) >= math.cos(TURN)
         for f in (factor[own], factor[own] * 0.89, factor[own] * 1.12):
             x = b[own, None, 0] + f[:, None] * along - b[None, :, 0]
             y = b[own, None, 1] + f[:, None] * across - b[None, :, 1]
-            near = x * x + y * y <= reach * reach
+            near = alike & (x * x + y * y <= reach * reach)
             near = near[near.sum(1) > best]  # no more than that can count
             if len(near):
                 places = (np.logical_or.reduceat(near[:, order], starts, axis=1).sum(1) for order, starts in sides)
@@ -268,13 +272,36 @@ def by_chance(matches: np.ndarray) -> int:
         apart = ((places[own, None] - places[None]) ** 2).sum(2)
         share = (apart <= reach[own, None] ** 2) @ weight / len(b)
         mean += float(np.minimum(1.0, weight[own] * share).sum())
-    wanted = math.log(3 * len(b) / CHANCE)
+    return _unlikely(mean, len(b))
+
+
+def _unlikely(mean: float, matches: int) -> int:
+    """The least number that a Poisson variable of this mean reaches in one of the transforms tried with a probability of
+    CHANCE at most."""
+    wanted = math.log(3 * matches / CHANCE)
     n = math.ceil(mean)
     while n * math.log(n / mean) - n + mean < wanted:
         n += 1
     return n  # and the match that gave the transform agrees with itself
 
 
+#: Fewer matches than this are never more than chance gives, as a match lies within its own reach: a mean of 1.
+LEAST_MATCHES = next(n for n in range(1, 100) if n > _unlikely(1.0, n))
+
+
+def enough_turned_alike(unit: np.ndarray, turn: np.ndarray, least: int) -> np.ndarray:
+    """Which of the matches are of units in which some match has ``least`` that turn as it does: in other units no more can
+    agree. ``unit`` is sorted."""
+    full = 2 * math.pi
+    turn = np.mod(turn, full)
+    wide = 2 * full  # units lie this far apart on one line, and each match three times on the circle
+    base = np.cumsum(np.diff(unit, prepend=unit[:1]) > 0) * (2 * wide)
+    line = np.sort(np.concatenate([base + turn, base + turn - full, base + turn + full]))
+    n = np.searchsorted(line, base + turn + TURN, "right") - np.searchsorted(line, base + turn - TURN, "left")
+    good = np.unique(unit[n >= least])
+    return np.isin(unit, good)
+
+
 def matched(places_1: np.ndarray, places_2: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """The places of pairs (row of one, row of the other) side by side, equal ones once."""
     return np.unique(np.concatenate([places_1[pairs[:, 0]], places_2[pairs[:, 1]]], 1), axis=0)
@@ -317,6 +344,9 @@ def _join(block, distance: int, agree: int):
             unit = of[pairs[:, 1]] * len(asked) + asked_of[pairs[:, 0]]  # a unit for each query and image
             order = np.argsort(unit, kind="stable")
             pairs, unit = pairs[order], unit[order]
+            turn = places[pairs[:, 1], 3] - asked_places[pairs[:, 0], 3]
+            some = enough_turned_alike(unit, turn, max(agree, LEAST_MATCHES))
+            pairs, unit = pairs[some], unit[some]
             edges = np.append(np.flatnonzero(np.diff(unit, prepend=-1)), len(unit))
             out = []
             for a, b in zip(edges, edges[1:], strict=False):

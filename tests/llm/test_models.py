@@ -202,6 +202,20 @@ def test_media_against_all_pairs(spark):
     assert len(found) >= 27
 
 
+def test_units_turned_alike():
+    rng = np.random.default_rng(3)
+    unit = np.sort(rng.integers(0, 60, 900))
+    turn = rng.uniform(-7, 7, 900)
+    turn[unit == 5] = 6.2 + rng.uniform(0, 0.3, (unit == 5).sum())
+    some = media.enough_turned_alike(unit, turn, 7)
+    for u in np.unique(unit):
+        t = turn[unit == u]
+        apart = np.abs((t[:, None] - t + np.pi) % (2 * np.pi) - np.pi)
+        assert some[unit == u].all() == some[unit == u].any() == ((apart <= media.TURN).sum(1).max() >= 7)
+    assert some[unit == 5].all() and not some.all()
+    assert not media.enough_turned_alike(unit[:0], turn[:0], 7).any()
+
+
 def test_hamming_tables_by_blocks(spark):
     rng = np.random.default_rng(2)
     words = rng.integers(0, 1 << 63, (3000, 4), np.uint64)
