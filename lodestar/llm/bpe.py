@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -243,13 +244,10 @@ class Codec:
 
     def decode_stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
         """Text for ids as they come."""
-        stream, held = Utf8Stream(), []
-        for i in ids:
-            held.append(self.bytes_of[i])
-            if len(held) == chunk:
-                yield stream.feed(b"".join(held))
-                held.clear()
-        yield stream.feed(b"".join(held)) + stream.end()
+        stream, token = Utf8Stream(), self.bytes_of.__getitem__
+        for part in batched(ids, chunk):
+            yield stream.feed(b"".join(map(token, part)))
+        yield stream.end()
 
 
 @lru_cache(maxsize=2)
