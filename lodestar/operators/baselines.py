@@ -151,7 +151,7 @@ def _lloyd_sums(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarra
         sub = x[:, m * width : (m + 1) * width]
         near = nearest(sub, books[m])
         n[m] = np.bincount(near, minlength=k)
-        np.add.at(total[m], near, sub)
+        total[m] = kmeans.summed(sub, near, k)
     return n, total
 
 

@@ -44,6 +44,13 @@ def start(vectors: DataFrame, k: int, seed: int | None = None) -> np.ndarray:
     return np.array([r[0] for r in rows], np.float64)
 
 
+def summed(x: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """The sums of the rows of each of k groups."""
+    width = x.shape[1]
+    cells = (near[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cells, x.ravel(), k * width).reshape(k, width)
+
+
 def sums(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """list_id, n, total (array): rows and coordinate sums by nearest centroid."""
     k, dim = centroids.shape
@@ -54,7 +61,7 @@ def sums(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
             x = matrix(batch.column(0), dim).astype(np.float64)
             near = nearest(x, centroids)
             n += np.bincount(near, minlength=k)
-            np.add.at(total, near, x)
+            total += summed(x, near, k)
         rows = np.flatnonzero(n)
         ends = pa.array(np.arange(len(rows) + 1) * dim, pa.int32())
         lists = pa.ListArray.from_arrays(ends, pa.array(total[rows].ravel()))
@@ -79,18 +86,17 @@ def lloyd(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """One round on rows in memory."""
     near = nearest(x, centroids)
     n = np.bincount(near, minlength=len(centroids))
-    total = np.zeros_like(centroids)
-    np.add.at(total, near, x)
+    total = summed(x, near, len(centroids))
     return np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)
 
 
 def in_memory(vectors: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray] | None:
     """vec_id and embedding of a sample, or None if that is too large for the driver."""
-    first = vectors.select(F.size("embedding").alias("dim")).first()
-    if not first or first["dim"] * min(rows, vectors.count()) > LOCAL_VALUES:
+    n, dim = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n or dim * min(rows, n) > LOCAL_VALUES:
         return None
     got = sample(vectors, rows).select(F.col("vec_id").cast("long"), "embedding").toArrow().combine_chunks()
-    return got.column(0).to_numpy(), matrix(got.column(1).combine_chunks(), first["dim"]).astype(np.float64)
+    return got.column(0).to_numpy(), matrix(got.column(1).combine_chunks(), dim).astype(np.float64)
 
 
 def first_of(ids: np.ndarray, x: np.ndarray, k: int, seed: int | None = None) -> np.ndarray:
