@@ -55,7 +55,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = rows.count()
     dealt = rows.repartition(1 + n // PICTURES, "vec_id")
     asked = rows.where("vec_id % 20 = 0").repartition(1 + n // 20 // PICTURES, "vec_id")
-    return media.find_copies(media.pictures(asked, copies=True), media.pictures(dealt))
+    return media.by_query(media.find_copies(media.pictures(asked, copies=True), media.pictures(dealt)))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

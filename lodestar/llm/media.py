@@ -35,7 +35,7 @@ TURN = 0.5
 #: More matches agree by chance the more there are: an unrelated pair may be linked with this probability at most.
 CHANCE = 0.01
 #: Descriptors of queries in a block; more of them make more passes over the index.
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 #: Corners described at once; transforms tried at once; meetings looked at once.
 _CORNERS, _TRIALS, _MEETINGS = 2000, 128, 1 << 20
 
@@ -196,7 +196,8 @@ class Tables:
             there = np.zeros(1 << (self.UPPER - 6), np.uint64)
             at = keys >> np.uint64(64 - self.UPPER)
             np.bitwise_or.at(there, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-            self.tables.append((*np.unique(keys[order], return_index=True, return_counts=True), order, there))
+            different, starts, times = np.unique(keys[order], return_index=True, return_counts=True)
+            self.tables.append((different, *(x.astype(np.int32) for x in (starts, times, order)), there))
 
     def near(self, words: np.ndarray, distance: int) -> np.ndarray:
         """Pairs (number of a query descriptor, row of ``words``) that meet in a table and are within the distance, once each."""
@@ -208,15 +209,15 @@ class Tables:
             at = np.minimum(np.searchsorted(ordered, keys[rows]), max(0, len(ordered) - 1))
             met = ordered[at] == keys[rows] if len(ordered) else np.zeros(0, bool)
             rows, first, n = rows[met], starts[at[met]], times[at[met]]
-            done = np.cumsum(n)
+            done = np.cumsum(n, dtype=np.int64)
             begin = 0
             while begin < len(rows):  # a part of the rows, so that meetings at once are bounded
                 end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + _MEETINGS, "right")))
-                k = n[begin:end]
+                k = n[begin:end].astype(np.int64)
                 inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 mine, theirs = np.repeat(rows[begin:end], k), order[np.repeat(first[begin:end], k) + inside]
                 close = np.bitwise_count(self.words[theirs] ^ words[mine]).sum(1) <= distance
-                found.append(theirs[close] * len(words) + mine[close])
+                found.append(theirs[close].astype(np.int64) * len(words) + mine[close])
                 begin = end
         return np.stack(np.divmod(np.unique(np.concatenate(found)), max(1, len(words))), 1)
 
@@ -412,6 +413,28 @@ def find_copies(queries: DataFrame, images: DataFrame, distance: int = DISTANCE,
     return links.unionByName(members)
 
 
+def by_query(found: DataFrame, most: int = 1000) -> DataFrame:
+    """What ``find_copies`` found with the links of a query in lists: query_id, part, image_ids (sorted), n_links (of the query),
+    class_id.
+
+    Groups of near-copies grow with the table, so rows for single links would grow faster than it. A query with more than
+    ``most`` links has several lists, dealt by hash (``part``: 0, 1, ...), so no list grows without bound; all links are there.
+    The rows that say which class an image is in have no query_id, the image alone in image_ids, and the class_id."""
+    links = found.where("query_id is not null")
+    number = links.groupBy("query_id").agg(F.count("*").alias("n_links"))
+    dealt = links.join(number, "query_id").withColumn(
+        "part", F.pmod(F.xxhash64("image_id"), F.ceil(F.col("n_links") / F.lit(most))).cast("int")
+    )
+    listed = dealt.groupBy("query_id", "part", "n_links").agg(F.sort_array(F.collect_list("image_id")).alias("image_ids"))
+    nothing = F.lit(None)
+    members = found.where("query_id is null").select(
+        nothing.cast("long").alias("query_id"), nothing.cast("int").alias("part"), F.array("image_id").alias("image_ids"),
+        nothing.cast("long").alias("n_links"), "class_id",
+    )
+    listed = listed.select("query_id", "part", "image_ids", "n_links", nothing.cast("long").alias("class_id"))
+    return listed.unionByName(members)
+
+
 # --- images for the query: no table has any, so embeddings are drawn
 
 

@@ -202,6 +202,17 @@ def test_media_against_all_pairs(spark):
     assert len(found) >= 27
 
 
+def test_links_in_lists(spark):
+    rows = [(1, i, i, 9) for i in range(25)] + [(2, 7, 7, 10), (None, 7, 7, None), (None, 8, 7, None)]
+    found = spark.createDataFrame(rows, "query_id long, image_id long, class_id long, agreeing long")
+    out = media.by_query(found, 10).collect()
+    one = [r for r in out if r["query_id"] == 1]
+    assert sorted(i for r in one for i in r["image_ids"]) == list(range(25)) and len(one) <= 3 and {r["n_links"] for r in one} == {25}
+    assert [(r["part"], r["image_ids"], r["n_links"]) for r in out if r["query_id"] == 2] == [(0, [7], 1)]
+    assert sorted((r["image_ids"], r["class_id"]) for r in out if r["query_id"] is None) == [([7], 7), ([8], 7)]
+    assert media.by_query(found.limit(0)).collect() == []
+
+
 def test_units_turned_alike():
     rng = np.random.default_rng(3)
     unit = np.sort(rng.integers(0, 60, 900))
