@@ -14,6 +14,9 @@ from lodestar.llm import bpe, decontaminate, minhash, quality, suffix_dedup
 from lodestar.llm.common import fresh, small_batches, table, written
 from lodestar.llm.entries import RANKS
 
+#: Pieces of text that a worker keeps the ids of: half the usual, as its executor has the heap of the stages before.
+PIECES = 1 << 18
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -42,7 +45,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are such columns, are replaced."""
     small_batches(spark)
     ids, decoded = fresh(docs, "ids"), fresh(docs, "decoded")
-    out = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids, decoded)
+    out = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids, decoded, PIECES)
     same = F.col(decoded) == F.coalesce("text", F.lit(""))
     wrong = F.raise_error(F.concat_ws(" ", F.lit("decoding differs in document"), F.col("doc_id")))
     checked = F.when(same, F.col(ids)).otherwise(wrong.cast("array<int>"))

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import binaries, in_slices
 
-#: States kept by a transducer, and pieces whose output is kept. Beyond, it starts afresh.
-MAX_STATES, MAX_PIECES = 1 << 18, 1 << 20
+#: States kept by a transducer; beyond, it starts afresh. Pieces of text whose output is kept: up to twice so many. A worker
+#: holds some 350 MB at these bounds.
+MAX_STATES, MAX_PIECES = 1 << 18, 1 << 19
 
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -41,7 +42,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class _State:
     __slots__ = ("last", "left", "live", "next", "pending")
 
-    def __init__(self, left: bytes | None, pending: bytes, last: list[int], live: list[int]):
+    def __init__(self, left: bytes | None, pending: bytes, last: tuple[int, ...], live: tuple[int, ...]):
         #: last[i]: length of the last token of what has been read up to pending[:i].
         #: live: where a token that isn't read to its end yet may have begun.
         self.left, self.pending, self.last, self.live, self.next = left, pending, last, live, {}
@@ -62,9 +63,9 @@ class MergeTransducer:
         #: Whether tokens come after those they are made of, as trained ones do.
         self.in_order = all(p is None or max(ranks[p[0]], ranks[p[1]]) < ranks[t] for t, p in self.parts.items())
         self.starts = {t[:i] for t in self.tokens for i in range(1, len(t))}
-        self._fits: dict[tuple[bytes, bytes], bool] = {}
+        self._fits: dict[int, bool] = {}  #: by both ranks
         self._states: dict[tuple[bytes | None, bytes], _State] = {}
-        self.start = _State(None, b"", [0], [0])
+        self.start = _State(None, b"", (0,), (0,))
 
     def merged(self, data: bytes, limit: int = 1 << 60) -> list[bytes]:
         """The merges themselves, on a few bytes: the lowest rank first, the leftmost of equals; those below the limit."""
@@ -86,11 +87,12 @@ class MergeTransducer:
 
     def fits(self, a: bytes, b: bytes) -> bool:
         """Whether b can follow a."""
-        known = self._fits.get((a, b))
+        both = self.ranks[a] << 32 | self.ranks[b]
+        known = self._fits.get(both)
         if known is None:
             if len(self._fits) > self.max_states * 4:
                 self._fits.clear()
-            known = self._fits[a, b] = self._apart(a, b) if self.in_order else self.merged(a + b) == [a, b]
+            known = self._fits[both] = self._apart(a, b) if self.in_order else self.merged(a + b) == [a, b]
         return known
 
     def _apart(self, a: bytes, b: bytes) -> bool:
@@ -115,7 +117,7 @@ class MergeTransducer:
         """Determinise one transition: the next state and the ids that go out, as little-endian 32-bit integers."""
         left, last, tokens, starts = state.left, state.last, self.tokens, self.starts
         pending = state.pending + bytes((byte,))
-        end, live, length = len(pending), [], 0
+        end, live, length = len(pending), (), 0
         for j in state.live:
             tail = pending[j:]
             if not length and tail in tokens:
@@ -123,25 +125,25 @@ class MergeTransducer:
                 if before is None or self.fits(before, tail):
                     length = end - j
             if tail in starts:
-                live.append(j)
+                live += (j,)
         if not length:
             raise ValueError("the vocabulary lacks a single byte")
-        last, out = [*last, length], b""
-        live.append(end)
+        last, out = (*last, length), b""
+        live += (end,)
         while live[0]:
             n = self._first(last, live[0])
             if any(self._first(last, j) != n for j in live[1:]):
                 break
             left, pending = pending[:n], pending[n:]
             out += self.packed[left]
-            last, live = [0, *last[n + 1 :]], [j - n for j in live]
+            last, live = (0, *last[n + 1 :]), tuple(j - n for j in live)
         found = self._states.get((left, pending))
         if found is None:
             found = self._states[left, pending] = _State(left, pending, last, live)
         return found, out
 
     @staticmethod
-    def _first(last: list[int], j: int) -> int:
+    def _first(last: tuple[int, ...], j: int) -> int:
         """Length of the first token on the way from pending[:j] back to its start; 0 at the start itself."""
         while j > last[j] > 0:
             j -= last[j]
@@ -152,8 +154,10 @@ class MergeTransducer:
         if piece in self.packed:
             return self.packed[piece]
         if len(self._states) > self.max_states:
+            for old in (self.start, *self._states.values()):  # states lead to each other: cycles, which are rarely collected
+                old.next.clear()
             self._states.clear()
-            self.start = _State(None, b"", [0], [0])
+            self.start = _State(None, b"", (0,), (0,))
         state, out = self.start, []
         for byte in piece:
             try:
@@ -171,16 +175,18 @@ class MergeTransducer:
 
 
 class _Pieces(dict):
-    """Output for each piece of text, made by the transducer when first met."""
+    """Output for each piece of text, made by the transducer when first met. When there are too many, those not asked for
+    since the last time go."""
 
-    def __init__(self, transducer: MergeTransducer):
+    def __init__(self, transducer: MergeTransducer, most: int = MAX_PIECES):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.most, self.older = transducer, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+        out = self.older.get(piece) or self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.most:
+                self.older = self.copy()
                 self.clear()
             self[piece] = out
         return out
@@ -228,9 +234,9 @@ class Utf8Stream:
 class Codec:
     """Encoding and decoding by one rank file and one splitting pattern; no special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
         self.split = regex.compile(pattern).findall
-        self.pieces = _Pieces(MergeTransducer(ranks))
+        self.pieces = _Pieces(MergeTransducer(ranks, min(MAX_STATES, max_pieces // 2)), max_pieces)
         self.bytes_of = [b""] * (1 + max(ranks.values(), default=-1))
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -251,9 +257,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(ranks_path: str, pattern: str) -> Codec:
+def codec(ranks_path: str, pattern: str, max_pieces: int = MAX_PIECES) -> Codec:
     """One for each Python worker."""
-    return Codec(read_ranks(ranks_path), pattern)
+    return Codec(read_ranks(ranks_path), pattern, max_pieces)
 
 
 @contextmanager
@@ -268,13 +274,15 @@ def _rarely_collected() -> Iterator[None]:
         gc.set_threshold(*was)
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, ids_name: str = "ids", decoded_name: str = "decoded") -> DataFrame:
+def encode(
+    documents: DataFrame, ranks_path: str, pattern: str, ids_name: str = "ids", decoded_name: str = "decoded", max_pieces: int = MAX_PIECES
+) -> DataFrame:
     """Token ids of every whole text: the columns of documents and ``ids`` (array of int), ``decoded`` (string).
 
     documents(doc_id, text, ...). A null text counts as empty: no ids, and an empty string; texts of any length are
     encoded whole, and an empty table gives no rows. ``decoded`` is what streaming decoding of the ids gives. Columns of
     these names (in any case) among the given ones are replaced. ``ranks_path`` must be readable on every executor, as an
-    installed file is.
+    installed file is. ``max_pieces`` bounds what workers hold; fewer take less memory and more time, ids are the same.
     """
     kept = [c for c in documents.columns if c.lower() not in (ids_name.lower(), decoded_name.lower())]
     source = documents.select(*kept)
@@ -282,7 +290,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, ids_name: str =
 
     def run(batches):
         with _rarely_collected():
-            yield from encoded(codec(ranks_path, pattern), batches)
+            yield from encoded(codec(ranks_path, pattern, max_pieces), batches)
 
     def encoded(c: Codec, batches):
         for batch in batches:

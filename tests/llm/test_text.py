@@ -1,6 +1,7 @@
 """Decontamination, byte-level BPE, sharding."""
 
 import base64
+import gc
 import hashlib
 import random
 import re
@@ -124,6 +125,22 @@ def test_transducer_starts_afresh():
         assert memoryview(small.encode(w.encode())).cast("I").tolist() == other.encode_ordinary(w)
 
 
+def test_a_codec_holds_no_more_than_its_bounds():
+    codec, other = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN, max_pieces=40), reference()
+    r = random.Random(3)
+    gc.collect()
+    gc.disable()
+    try:
+        before = sum(isinstance(x, bpe._State) for x in gc.get_objects())
+        for _ in range(2000):
+            text = "".join(r.choice("aeinrst") for _ in range(20)) + " the"
+            assert memoryview(codec.encode(text)).cast("I").tolist() == other.encode_ordinary(text)
+        left = sum(isinstance(x, bpe._State) for x in gc.get_objects()) - before
+    finally:
+        gc.enable()
+    assert left < 200 and len(codec.pieces) <= 40 and len(codec.pieces.older) <= 40
+
+
 def test_utf8_stream():
     data = "aé日😀\U0010ffffz".encode() + b"\xff\xc3(\xe2\x82\xed\xa0\x80\xf0\x9f" + "é".encode() + b"\xe2\x82"
     for cut in range(1, 6):
