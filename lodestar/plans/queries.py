@@ -583,7 +583,7 @@ s AS (SELECT query_id, vec_id, sum(x) AS score FROM pc JOIN l USING (m, code) GR
 
 def pq_stored(spark, d, parts: int) -> tuple[DataFrame, np.ndarray]:
     """A stored table of product codes, and the books."""
-    b = baselines.pq_train(vectors(spark, d), parts, DIM)
+    b = baselines.pq_train(vectors(spark, d), parts, DIM, sample_rows=None)
     return written(baselines.pq_table(vectors(spark, d), b), "pq"), b
 
 
@@ -600,7 +600,7 @@ for _parts in (8, 16):
 
 @query("pq_train_256", f"WITH {pq_sql(PARTS)} SELECT m, code, pos, round(value, 6) AS value FROM (SELECT m, code, unnest(c) AS value, generate_subscripts(c, 1) - 1 AS pos FROM b20)")
 def _(spark, d):
-    b = baselines.pq_train(vectors(spark, d), PARTS, DIM)
+    b = baselines.pq_train(vectors(spark, d), PARTS, DIM, sample_rows=None)
     rows = [(m, c, p, float(x)) for (m, c, p), x in np.ndenumerate(b)]
     return spark.createDataFrame(rows, "m long, code long, pos long, value double").withColumn("value", r6(F.col("value")))
 
